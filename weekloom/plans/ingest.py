@@ -45,7 +45,7 @@ def select_items(
         F.col("published_at").between(lower, upper)
     )
     if tags:
-        dated = dated.where(F.try_element_at("tags", F.lit(1)).isin(list(tags)))
+        dated = dated.where(F.get("tags", F.lit(0)).isin(list(tags)))
     text = join_text(F.col("title"), F.col("summary"))
     matched = match_entities(dated, lexicon, text=text, out_col="teams")
     return matched.where(F.size("teams") > 0)
