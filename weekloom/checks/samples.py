@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from weekloom.functions.words import tokens
 from weekloom.functions.weeks import with_week
 from weekloom.operators.entities import explode_hits, mention_hits
+from weekloom.session import spread
 
 # A vocabulary that occurs in the test texts: (entity_id, ord, name, pattern).
 LEXICON = [
@@ -31,8 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small constant table whose size the planner knows."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(str(r) for r in rows)} AS t({columns})")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "entity_id int, ord int, name string, pattern string")
+    return _values(spark, LEXICON, "entity_id, ord, name, pattern")
 
 
 def entities(spark: SparkSession) -> DataFrame:
@@ -40,12 +46,12 @@ def entities(spark: SparkSession) -> DataFrame:
 
 
 def outlets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OUTLETS, "id int, name string")
+    return _values(spark, OUTLETS, "id, name")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve weeks of articles from Monday 2025-05-19."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("link"),
         F.substring("text", 1, 80).alias("title"),

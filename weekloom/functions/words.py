@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A word character as most regex dialects with Unicode words see it. Spelled out because
@@ -12,19 +12,33 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
+# A token, and a token that is not digits only.
+TOKEN = r"[\p{L}\p{N}_]++"
+WORDY_TOKEN = rf"(?<!{WORD})(?!\p{{Nd}}++(?!{WORD})){TOKEN}"
+
+
+def first_letters(alternatives: str) -> str:
+    """Look-ahead for the first characters of plain alternatives, "" if there is no such
+    short cut. It lets the matcher skip most positions of a text cheaply."""
+    firsts = {alias[:1] for alias in alternatives.split("|")}
+    if not all(f.isalnum() for f in firsts):
+        return ""
+    return f"(?=[{''.join(sorted(firsts))}])"
+
+
 def whole_word(alternatives: str) -> str:
     """Case-insensitive pattern for any of ``a|b|c`` standing between word boundaries."""
-    return f"(?iu)(?<!{WORD})(?:{alternatives})(?!{WORD})"
+    return f"(?iu){first_letters(alternatives)}(?<!{WORD})(?:{alternatives})(?!{WORD})"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case word tokens, in order."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def drop_digit_tokens(words: Column) -> Column:
-    """Remove tokens that are digits only."""
-    return F.filter(words, lambda t: ~t.rlike(r"^\p{Nd}+$"))
+def wordy_tokens(text: Column) -> Column:
+    """Lower-case word tokens without those that are digits only."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDY_TOKEN), F.lit(0))
 
 
 def drop_words(words: Column, stop_words: list[str]) -> Column:
@@ -34,18 +48,30 @@ def drop_words(words: Column, stop_words: list[str]) -> Column:
     return F.filter(words, lambda t: ~t.isin(list(stop_words)))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by a space."""
-    if n == 1:
-        return words
-    last = F.size(words) - F.lit(n - 1)
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("array()").cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
+def explode_ngrams(
+    df: DataFrame, keep: list[str], words_col: str, low: int, high: int, out_col: str = "keyword"
+) -> DataFrame:
+    """One row per run of ``low`` to ``high`` neighbouring tokens, joined by a space.
 
-def ngrams_between(words: Column, low: int, high: int) -> Column:
-    """n-grams of every length from ``low`` to ``high``."""
-    return F.concat(*[ngrams(words, n) for n in range(low, high + 1)])
+    Every token is laid next to its followers first, so the joining runs on plain columns
+    and not inside an array lambda.
+    """
+    words = F.col(words_col)
+    shifted = [words] + [F.slice(words, n + 1, F.size(words)) for n in range(1, high)]
+    laid = df.select(
+        *keep, F.explode(F.arrays_zip(*[w.alias(f"w{i}") for i, w in enumerate(shifted)])).alias("_at")
+    ).select(*keep, *[F.col(f"_at.w{i}").alias(f"_w{i}") for i in range(high)])
+    grams = [
+        F.when(F.col(f"_w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_w{i}" for i in range(n)]))
+        if n > 1
+        else F.col("_w0")
+        for n in range(low, high + 1)
+    ]
+    if len(grams) == 1:
+        found = laid.select(*keep, grams[0].alias(out_col))
+    else:
+        found = laid.select(*keep, F.explode(F.array(*grams)).alias(out_col))
+    return found.where(F.col(out_col).isNotNull())
 
 
 def join_text(*parts: Column) -> Column:

@@ -2,17 +2,20 @@
 
 A lexicon is a table (entity_id, ord, name, pattern); ``pattern`` is an alternation of
 aliases and ``ord`` breaks ties. A small lexicon becomes part of the row expression, so
-texts are scanned where they lie. A larger one is indexed by the first word of each
-alias and met by an equi-join, after which the pattern itself decides; both ways give
-the same hits.
+texts are scanned where they lie; if its aliases are plain words that cannot overlap
+between entities, all of them are found in one scan. A larger lexicon is indexed by the
+first word of each alias and met by an equi-join, after which the pattern itself
+decides. All ways give the same hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from weekloom.functions.words import tokens, whole_word
+from weekloom.functions.words import WORD, tokens, whole_word
 
 INLINE_ENTITIES = 64
 
@@ -24,8 +27,47 @@ def inline_lexicon(lexicon: DataFrame, limit: int = INLINE_ENTITIES) -> list[Row
 
 
 def _pattern_col() -> Column:
-    head, tail = whole_word("\0").split("\0")
-    return F.concat(F.lit(head), F.col("pattern"), F.lit(tail))
+    return F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.col("pattern"), F.lit(f")(?!{WORD})"))
+
+
+def _fold(text: str) -> str:
+    return text.upper().lower()
+
+
+def _overlap(a: list[str], b: list[str]) -> bool:
+    """Whether two word sequences can share words of a text."""
+    return any(
+        all(a[i] == b[i - at] for i in range(max(at, 0), min(len(a), at + len(b))))
+        for at in range(1 - len(b), len(a))
+    )
+
+
+def one_scan(rows: list[Row]) -> bool:
+    """Whether one pattern over all entities finds what one pattern per entity finds."""
+    split = [[_fold(a).split(" ") for a in r["pattern"].split("|")] for r in rows]
+    plain = all(w.isalnum() for aliases in split for alias in aliases for w in alias)
+    return plain and not any(
+        _overlap(a, b)
+        for i, one in enumerate(split)
+        for other in split[i + 1 :]
+        for a in one
+        for b in other
+    )
+
+
+def _found(text: Column, rows: list[Row]) -> Column:
+    """All alias occurrences in a text, case-folded."""
+    every = "|".join(r["pattern"] for r in rows)
+    hits = F.regexp_extract_all(text, F.lit(whole_word(every)), F.lit(0))
+    return F.transform(hits, lambda h: F.lower(F.upper(h)))
+
+
+def _occurrences(found: Column, names: list[str]) -> Column:
+    return F.size(F.filter(found, lambda h: h.isin(names)))
+
+
+def _aliases(row: Row) -> list[str]:
+    return [_fold(a) for a in row["pattern"].split("|")]
 
 
 def mention_hits(
@@ -39,20 +81,34 @@ def mention_hits(
     """Add ``hits``: array<struct<ord, entity_id, name, cnt>> of the entities mentioned,
     in lexicon order; an empty array if there are none."""
     rows = inline_lexicon(lexicon, inline_limit)
-    if rows is not None:
-        return docs.withColumn("hits", _inline_hits(F.col(text_col), rows))
-    return _indexed_hits(docs, lexicon, id_col, text_col)
+    if rows is None:
+        return _indexed_hits(docs, lexicon, id_col, text_col)
+    if not one_scan(rows):
+        text = F.col(text_col)
+        counts = [F.regexp_count(text, F.lit(whole_word(r["pattern"]))) for r in rows]
+        return docs.withColumn("hits", _hits(rows, counts))
+
+    def count_all(found: Column) -> Column:
+        return _hits(rows, [_occurrences(found, _aliases(r)) for r in rows])
+
+    return docs.withColumn("hits", _with_value(_found(F.col(text_col), rows), count_all))
+
 
+def _with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row. A plain column in between
+    does not ensure that, since the optimizer may copy it into every place of use."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
-def _inline_hits(text: Column, rows: list[Row]) -> Column:
+
+def _hits(rows: list[Row], counts: list[Column]) -> Column:
     found = [
         F.struct(
             F.lit(r["ord"]).alias("ord"),
             F.lit(r["entity_id"]).alias("entity_id"),
             F.lit(r["name"]).alias("name"),
-            F.regexp_count(text, F.lit(whole_word(r["pattern"]))).cast("long").alias("cnt"),
+            n.cast("long").alias("cnt"),
         )
-        for r in rows
+        for r, n in zip(rows, counts)
     ]
     return F.filter(F.array(*found), lambda h: h["cnt"] > 0)
 
@@ -79,12 +135,26 @@ def _indexed_hits(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: st
 
 
 def explode_hits(hits: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per (text, entity mentioned) with its count."""
-    return hits.select(*keep, F.explode("hits").alias("h")).select(
-        *keep, "h.entity_id", "h.ord", "h.name", "h.cnt"
+    """One row per (text, entity mentioned) with its count.
+
+    The outer form keeps Spark from testing the array's size first, which would scan the
+    text twice.
+    """
+    return (
+        hits.select(*keep, F.explode_outer("hits").alias("h"))
+        .where(F.col("h").isNotNull())
+        .select(*keep, "h.entity_id", "h.ord", "h.name", "h.cnt")
     )
 
 
+def mentions_any(text: Column, lexicon: DataFrame, inline_limit: int = INLINE_ENTITIES) -> Column | None:
+    """Cheap test for any alias in a text; None for a lexicon too large to inline."""
+    rows = inline_lexicon(lexicon, inline_limit)
+    if rows is None:
+        return None
+    return text.rlike(whole_word("|".join(r["pattern"] for r in rows)))
+
+
 def match_entities(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -96,6 +166,17 @@ def match_entities(
 ) -> DataFrame:
     """Add the names of the entities with any alias in ``text``, in lexicon order."""
     rows = inline_lexicon(lexicon, inline_limit)
+    if rows is not None and one_scan(rows):
+
+
+        def names(found: Column) -> Column:
+            own = [F.array(*[F.lit(a) for a in _aliases(r)]) for r in rows]
+            named = [
+                F.when(F.arrays_overlap(found, a), F.lit(r["name"])) for a, r in zip(own, rows)
+            ]
+            return F.array_compact(F.array(*named))
+
+        return docs.withColumn(out_col, _with_value(_found(text, rows), names))
     if rows is not None:
         named = [F.when(text.rlike(whole_word(r["pattern"])), F.lit(r["name"])) for r in rows]
         return docs.withColumn(out_col, F.array_compact(F.array(*named)))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weekloom.functions.words import (
-    drop_digit_tokens,
+    WORD,
     drop_words,
-    ngrams_between,
+    explode_ngrams,
     tokens,
-    whole_word,
+    wordy_tokens,
 )
 
 NAME_RUN = r"\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}"
@@ -35,11 +35,11 @@ def phrase_counts(
     before the n-grams are formed. The cluster's texts are never put together: counts are
     added up, on the map side first.
     """
-    words = drop_words(drop_digit_tokens(tokens(F.col(text_col))), list(stop_words))
+    words = drop_words(wordy_tokens(F.col(text_col)), list(stop_words))
     if min_chars > 1:
         words = F.filter(words, lambda w: F.length(w) >= min_chars)
-    phrases = members.select(*group_cols, words.alias("_words")).select(
-        *group_cols, F.explode(ngrams_between(F.col("_words"), low, high)).alias("keyword")
+    phrases = explode_ngrams(
+        members.select(*group_cols, words.alias("_words")), group_cols, "_words", low, high
     )
     return phrases.groupBy(*group_cols, "keyword").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -90,19 +90,25 @@ def score_centroid(
     *,
     text_col: str = "full_text",
     vector_col: str = "embedding",
+    id_col: str = "article_id",
     low: int = 1,
     high: int = 2,
 ) -> DataFrame:
     """Cosine between the cluster's mean vector and the mean vector of the cluster's
     articles that hold the candidate."""
     vec = array_to_vector(F.col(vector_col).cast("array<double>"))
-    held = members.select(
-        *group_cols,
-        vec.alias("_v"),
-        F.explode(
-            F.array_distinct(ngrams_between(drop_digit_tokens(tokens(F.col(text_col))), low, high))
-        ).alias("keyword"),
-    ).join(candidates.select(*group_cols, "keyword").distinct(), [*group_cols, "keyword"])
+    grams = explode_ngrams(
+        members.select(*group_cols, id_col, wordy_tokens(F.col(text_col)).alias("_words")),
+        [*group_cols, id_col],
+        "_words",
+        low,
+        high,
+    )
+    held = (
+        grams.join(candidates.select(*group_cols, "keyword"), [*group_cols, "keyword"], "left_semi")
+        .distinct()
+        .join(members.select(*group_cols, id_col, vec.alias("_v")), [*group_cols, id_col])
+    )
     phrase = held.groupBy(*group_cols, "keyword").agg(
         vector_to_array(Summarizer.mean(F.col("_v"))).alias("_p")
     )
@@ -133,11 +139,8 @@ def drop_own_aliases(
 ) -> DataFrame:
     """Drop keywords that name the entity itself. For an unknown entity only an empty
     keyword goes."""
-    head, tail = whole_word("\0").split("\0")
-    own = lexicon.select(
-        F.col("entity_id").alias("_e"),
-        F.concat(F.lit(head), F.col("pattern"), F.lit(tail)).alias("_p"),
-    )
+    whole = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.col("pattern"), F.lit(f")(?!{WORD})"))
+    own = lexicon.select(F.col("entity_id").alias("_e"), whole.alias("_p"))
     return (
         keywords.join(own, keywords[entity_col] == own["_e"], "left")
         .where(~F.expr("keyword rlike coalesce(_p, '^$')"))

@@ -50,3 +50,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor never replays the loop so far."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores by a unique key, if the files behind ``df`` are fewer
+    than the cores. Work that grows on the way, as tokenising does, would otherwise stay
+    in the few tasks that read the files. Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if len(df.inputFiles()) < cores else df
