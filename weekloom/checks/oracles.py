@@ -68,7 +68,7 @@ _BASE = [
 
 
 def _with(sql: str, *more: str) -> str:
-    return "WITH " + ",\n".join([*_BASE, *more]) + "\n" + sql.strip()
+    return "WITH RECURSIVE " + ",\n".join([*_BASE, *more]) + "\n" + sql.strip()
 
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -104,6 +104,64 @@ _LABELS = """given AS (
 _BACKLOG = """open_rows AS (
   SELECT * FROM weekly_topic WHERE week_end < DATE '2025-07-16')"""
 
+# k-means in SQL: the seeds are drawn one after the other, then 20 rounds of assignment
+# and averaging, for all groups and all k at a time.
+_KMEANS = [
+    f"""points AS (
+  SELECT w.entity_id, w.week_start, w.article_id, count(*) OVER (PARTITION BY w.entity_id, w.week_start) AS n,
+         list_concat(CAST(e.embedding AS DOUBLE[]),
+           list_transform(range({len(vocab.TOPICS)}), lambda i: CASE WHEN w.topic_id = i THEN 1.0e0 ELSE 0.0e0 END),
+           [CASE WHEN w.topic_id IS NULL THEN 1.0e0 ELSE 0.0e0 END]) AS x
+  FROM weekly_topic w JOIN embeddings e ON e.vec_id = w.article_id)""",
+    """pairs AS (
+  SELECT a.entity_id, a.week_start, a.article_id AS p, b.article_id AS q, a.n,
+         list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d
+  FROM points a JOIN points b ON a.entity_id = b.entity_id AND a.week_start = b.week_start WHERE a.n >= 2)""",
+    """draws AS (
+  SELECT p.article_id, j.pick,
+         -ln((CAST('0x' || substr(md5('42|' || j.pick || '|' || p.article_id), 1, 13) AS BIGINT) + 1) / 4503599627370496.0e0) AS e
+  FROM (SELECT DISTINCT article_id FROM points) p
+  CROSS JOIN (SELECT unnest(range(greatest(2, max(n) // 2))) AS pick FROM points) j)""",
+    """picks AS (
+  SELECT entity_id, week_start, 0 AS j, [arg_min(p.article_id, e)] AS picked
+  FROM points p JOIN draws d ON d.article_id = p.article_id AND d.pick = 0 WHERE n >= 2
+  GROUP BY entity_id, week_start
+  UNION ALL
+  SELECT entity_id, week_start, j + 1, list_append(any_value(picked), arg_min(p, e / near))
+  FROM (SELECT k.entity_id, k.week_start, k.j, any_value(k.picked) AS picked, d.p, min(d.d) AS near, any_value(r.e) AS e
+        FROM picks k
+        JOIN pairs d ON d.entity_id = k.entity_id AND d.week_start = k.week_start AND list_contains(k.picked, d.q)
+        JOIN draws r ON r.article_id = d.p AND r.pick = k.j + 1
+        WHERE k.j + 1 < greatest(2, d.n // 2)
+        GROUP BY k.entity_id, k.week_start, k.j, d.p) WHERE near > 0
+  GROUP BY entity_id, week_start, j)""",
+    """centres AS (
+  SELECT s.entity_id, s.week_start, CAST(k.k AS INTEGER) AS k, 0 AS it, s.j AS c, p.x
+  FROM (SELECT entity_id, week_start, j, picked[len(picked)] AS article_id FROM picks) s
+  JOIN points p ON p.entity_id = s.entity_id AND p.week_start = s.week_start AND p.article_id = s.article_id
+  JOIN (SELECT DISTINCT entity_id, week_start, unnest(range(2, greatest(2, n // 2) + 1)) AS k FROM points WHERE n >= 2) k
+    ON k.entity_id = s.entity_id AND k.week_start = s.week_start AND s.j < k.k
+  UNION ALL
+  SELECT o.entity_id, o.week_start, o.k, o.it + 1, o.c, coalesce(m.x, o.x)
+  FROM centres o LEFT JOIN (
+    SELECT entity_id, week_start, k, c, list(v ORDER BY i) AS x
+    FROM (SELECT l.entity_id, l.week_start, l.k, l.c, i.i, avg(l.x[i.i]) AS v
+          FROM (SELECT p.entity_id, p.week_start, c.k, p.article_id, any_value(p.x) AS x,
+                       arg_min(c.c, (list_sum(list_transform(range(1, len(p.x) + 1),
+                         lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), c.c)) AS c
+                FROM points p JOIN centres c ON c.entity_id = p.entity_id AND c.week_start = p.week_start
+                GROUP BY p.entity_id, p.week_start, c.k, p.article_id) l
+          CROSS JOIN (SELECT unnest(range(1, 73)) AS i) i GROUP BY ALL)
+    GROUP BY ALL) m ON m.entity_id = o.entity_id AND m.week_start = o.week_start AND m.k = o.k AND m.c = o.c
+  WHERE o.it < 20)""",
+    """placed AS (
+  SELECT entity_id, week_start, k, article_id, min(dist) AS dist, arg_min(c, (dist, c)) AS c
+  FROM (SELECT p.entity_id, p.week_start, p.article_id, c.k, c.c, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))) AS dist
+        FROM points p JOIN (SELECT * FROM centres WHERE it = 20) c
+          ON c.entity_id = p.entity_id AND c.week_start = p.week_start)
+  GROUP BY ALL)""",
+]
+
 _JUDGED = """judged AS (
   SELECT quality + 2 * toxic AS label,
          CASE WHEN doc_id % 5 = 0 THEN (quality + 2 * toxic + 1) % 4 ELSE quality + 2 * toxic END AS prediction
@@ -438,6 +496,32 @@ WHERE rn = 1""",
   WHERE k >= 2)""",
     )
 
+    q["kmeans_sweep"] = _with(
+        """
+SELECT entity_id, week_start, k, round(sum(dist), 4) AS inertia FROM placed GROUP BY entity_id, week_start, k""",
+        *_KMEANS,
+    )
+    q["kmeans_sweep_chunked"] = q["kmeans_sweep"]
+    q["weekly_clusters"] = _with(
+        """
+SELECT p.entity_id, p.week_start, p.article_id, CAST(coalesce(l.c, 0) AS INTEGER) AS cluster_id
+FROM points p LEFT JOIN best b ON b.entity_id = p.entity_id AND b.week_start = p.week_start
+LEFT JOIN placed l ON l.entity_id = p.entity_id AND l.week_start = p.week_start AND l.article_id = p.article_id
+  AND l.k = b.k""",
+        *_KMEANS,
+        """curves AS (
+  SELECT entity_id, week_start, k, sum(dist) AS inertia FROM placed GROUP BY ALL)""",
+        """best AS (
+  SELECT entity_id, week_start, k FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, week_start ORDER BY off DESC, k) AS rn
+    FROM (SELECT *, CASE WHEN d <= 1e-9 * abs(i0 - i1) THEN 0.0e0 ELSE d END AS off
+          FROM (SELECT *, abs(inertia - (i0 - (k - k0) * ((i0 - i1) / greatest(k1 - k0, 1)))) AS d
+                FROM (SELECT *, min(k) OVER e AS k0, max(k) OVER e AS k1,
+                             arg_min(inertia, k) OVER e AS i0, arg_max(inertia, k) OVER e AS i1
+                      FROM curves WINDOW e AS (PARTITION BY entity_id, week_start)))))
+  WHERE rn = 1)""",
+    )
+
     # ---- topic models
     q["class_weights"] = """
 SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * CAST(n AS DOUBLE)), 6) AS weight

@@ -572,7 +572,16 @@ def elbow_k(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
-    return clusters.kmeans_sweep(_points(spark, sf), WEEK)
+    return clusters.kmeans_sweep(_points(spark, sf), WEEK).select(*WEEK, "k", _r("inertia", 4))
+
+
+@query
+def kmeans_sweep_chunked(spark, sf):
+    """The same with every group of more than four articles cut into chunks."""
+    swept = clusters.kmeans_sweep(
+        _points(spark, sf), WEEK, local_rows=4, large_k_max=None, chunk_rows=8
+    )
+    return swept.select(*WEEK, "k", _r("inertia", 4))
 
 
 @query

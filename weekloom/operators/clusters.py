@@ -4,12 +4,14 @@ Groups of up to ``local_rows`` articles are clustered whole, each in one task, o
 full range of k from 2 to half the group. A larger group never meets in one task: its
 points are cut into chunks, every iteration sends each chunk only that group's centres,
 and the chunks' sums are added up by an aggregation. Every article is used and labelled
-on both ways; only the starting centres of a large group come from ``local_rows`` of its
-points.
+on both ways; only the starting centres of a large group are picked among ``seed_rows``
+of its points.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +26,9 @@ from weekloom.session import cut_lineage
 LOCAL_ROWS = 1000
 LARGE_K_MAX = 64
 CHUNK_ROWS = 50_000
+SEED_ROWS = 1000
+# Squared way the centres may still move; small enough for no label to change.
+TOL = 1e-9
 
 
 def topic_features(
@@ -71,19 +76,24 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _seeds(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ picks; the first j of them are the picks for j centres."""
-    rng = np.random.default_rng(seed)
-    picks = [int(rng.integers(len(x)))]
+def _draws(ids, pick: int, seed: int) -> np.ndarray:
+    """An exponential draw per article and pick, fixed by an md5 of both."""
+    heads = [hashlib.md5(f"{seed}|{pick}|{i}".encode()).hexdigest()[:13] for i in ids]
+    return -np.log([(int(h, 16) + 1) / 2.0**52 for h in heads])
+
+
+def _seeds(ids, x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ picks; the first j of them are the picks for j centres.
+
+    The smallest draw divided by the squared distance to the nearest pick wins, which
+    chooses articles in proportion to that distance and depends on the articles only, not
+    on their order. Fewer than k come back if the points have fewer distinct places.
+    """
+    picks = [int(_draws(ids, 0, seed).argmin())]
     near = ((x - x[picks[0]]) ** 2).sum(1)
-    while len(picks) < k:
-        near[picks] = 0.0
-        total = near.sum()
-        if total > 0:
-            pick = int(np.searchsorted(np.cumsum(near), rng.random() * total, side="right"))
-            pick = min(pick, len(x) - 1)
-        else:
-            pick = next(i for i in range(len(x)) if i not in set(picks))
+    while len(picks) < k and near.max() > 0:
+        draws = _draws(ids, len(picks), seed)
+        pick = int(np.where(near > 0, draws / np.where(near > 0, near, 1.0), np.inf).argmin())
         picks.append(pick)
         near = np.minimum(near, ((x - x[pick]) ** 2).sum(1))
     return x[picks]
@@ -130,11 +140,10 @@ def _small(points, group_cols, id_col, out, seed, max_iter, tol) -> DataFrame:
         group = group.sort_values(id_col, ignore_index=True)
         x = np.stack(group["features"].to_numpy()).astype(float)
         low, high = int(group["k_low"][0]), int(group["k_high"][0])
-        stop = tol * x.var(axis=0).mean()
-        seeds = _seeds(x, min(high, len(x)), seed)
+        seeds = _seeds(group[id_col], x, high, seed)
         rows = []
         for k in range(low, high + 1):
-            labels, inertia = _lloyd(x, seeds[: min(k, len(x))], max_iter, stop)
+            labels, inertia = _lloyd(x, seeds[:k], max_iter, tol)
             rows.append((k, inertia))
         if out == "inertia":
             result = pd.DataFrame(rows, columns=["k", "inertia"])
@@ -147,7 +156,7 @@ def _small(points, group_cols, id_col, out, seed, max_iter, tol) -> DataFrame:
     return points.groupBy(*group_cols).applyInPandas(run, T.StructType(fields))
 
 
-def _large(points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chunk_rows):
+def _large(points, group_cols, id_col, out, seed, max_iter, tol, seed_rows, chunk_rows):
     """The same result for groups that are spread over chunks; one job per iteration."""
     vector = T.ArrayType(T.DoubleType())
     keys = [points.schema[c] for c in group_cols]
@@ -166,7 +175,7 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chu
     def start(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(id_col, ignore_index=True)
         x = np.stack(group["features"].to_numpy()).astype(float)
-        picks = _seeds(x, min(int(group["k_high"][0]), len(x)), seed)
+        picks = _seeds(group[id_col], x, int(group["k_high"][0]), seed)
         result = pd.DataFrame({"c": range(len(picks)), "centre": list(picks)})
         for c in group_cols:
             result[c] = [group[c][0]] * len(result)
@@ -178,7 +187,7 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chu
         group_cols=group_cols,
         salt=str(seed),
         pos_col="_pos",
-    ).where(F.col("_pos") <= F.greatest(F.lit(local_rows), F.col("k_high")))
+    ).where(F.col("_pos") <= F.greatest(F.lit(seed_rows), F.col("k_high")))
     first = drawn.drop("_pos").groupBy(*group_cols).applyInPandas(
         start, T.StructType([*keys, T.StructField("c", T.IntegerType()), T.StructField("centre", vector)])
     )
@@ -272,14 +281,16 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chu
     return visit("labels", centres, label_fields)
 
 
-def _grouped(points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chunk_rows):
+def _grouped(
+    points, group_cols, id_col, out, seed, max_iter, tol, local_rows, seed_rows, chunk_rows
+):
     fits = points.where(F.col("_n") <= local_rows)
     rest = points.where(F.col("_n") > local_rows)
     small = _small(fits, group_cols, id_col, out, seed, max_iter, tol)
     if rest.select("_n").isEmpty():
         return small
     large = _large(
-        rest, group_cols, id_col, out, seed, min(max_iter, 50), tol, local_rows, chunk_rows
+        rest, group_cols, id_col, out, seed, min(max_iter, 50), tol, seed_rows, chunk_rows
     )
     return small.unionByName(large.select(*small.columns))
 
@@ -291,9 +302,10 @@ def kmeans_sweep(
     id_col: str = "article_id",
     seed: int = 42,
     max_iter: int = 300,
-    tol: float = 1e-4,
+    tol: float = TOL,
     local_rows: int = LOCAL_ROWS,
     large_k_max: int | None = LARGE_K_MAX,
+    seed_rows: int = SEED_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Inertia for every k from 2 to half the group (groups, ``k``, ``inertia``).
@@ -309,7 +321,7 @@ def kmeans_sweep(
         high = F.when(F.col("_n") > local_rows, capped).otherwise(high)
     ready = sized.withColumn("k_low", F.lit(2)).withColumn("k_high", high)
     return _grouped(
-        ready, group_cols, id_col, "inertia", seed, max_iter, tol, local_rows, chunk_rows
+        ready, group_cols, id_col, "inertia", seed, max_iter, tol, local_rows, seed_rows, chunk_rows
     )
 
 
@@ -321,8 +333,9 @@ def kmeans_labels(
     id_col: str = "article_id",
     seed: int = 42,
     max_iter: int = 300,
-    tol: float = 1e-4,
+    tol: float = TOL,
     local_rows: int = LOCAL_ROWS,
+    seed_rows: int = SEED_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``cluster_id`` (from 0) of every article; groups of one article are cluster 0."""
@@ -336,7 +349,7 @@ def kmeans_labels(
         .withColumn("k_high", F.col("k_low"))
     )
     found = _grouped(
-        ready, group_cols, id_col, "labels", seed, max_iter, tol, local_rows, chunk_rows
+        ready, group_cols, id_col, "labels", seed, max_iter, tol, local_rows, seed_rows, chunk_rows
     )
     return found.unionByName(single)
 
