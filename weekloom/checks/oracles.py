@@ -162,6 +162,34 @@ _KMEANS = [
   GROUP BY ALL)""",
 ]
 
+_PHRASES = [
+          rf"""words AS (
+    SELECT article_id, list_filter(tk, lambda x: NOT regexp_full_match(x, '\p{{Nd}}+') AND x NOT IN ({_STOP})) AS w
+    FROM tokens)""",
+          """phrases AS (
+    SELECT article_id, unnest(w) AS keyword FROM words
+    UNION ALL
+    SELECT article_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)""",
+]
+
+_NAMES = r"""names AS (
+SELECT article_id, lower(unnest(regexp_extract_all(full_text,
+  '\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}'))) AS keyword FROM articles)"""
+
+_BEST = [
+          """curves AS (
+  SELECT entity_id, week_start, k, sum(dist) AS inertia FROM placed GROUP BY ALL)""",
+          """best AS (
+  SELECT entity_id, week_start, k FROM (
+      SELECT *, row_number() OVER (PARTITION BY entity_id, week_start ORDER BY off DESC, k) AS rn
+      FROM (SELECT *, CASE WHEN d <= 1e-9 * abs(i0 - i1) THEN 0.0e0 ELSE d END AS off
+            FROM (SELECT *, abs(inertia - (i0 - (k - k0) * ((i0 - i1) / greatest(k1 - k0, 1)))) AS d
+                  FROM (SELECT *, min(k) OVER e AS k0, max(k) OVER e AS k1,
+                               arg_min(inertia, k) OVER e AS i0, arg_max(inertia, k) OVER e AS i1
+                        FROM curves WINDOW e AS (PARTITION BY entity_id, week_start)))))
+    WHERE rn = 1)""",
+]
+
 _JUDGED = """judged AS (
   SELECT quality + 2 * toxic AS label,
          CASE WHEN doc_id % 5 = 0 THEN (quality + 2 * toxic + 1) % 4 ELSE quality + 2 * toxic END AS prediction
@@ -338,6 +366,19 @@ FROM articles"""
 SELECT page_id, {unescape.format("trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))")} AS author,
        {unescape.format("trim(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1))")} AS standfirst
 FROM pages"""
+    # An unclosed paragraph holds everything up to the end of the article.
+    body = "regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+    q["page_text"] = f"""
+WITH parts AS (
+  SELECT page_id, url, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS s FROM pages),
+blocks AS (
+  SELECT page_id, i, CASE WHEN contains(s[i], '</p>') THEN string_split(s[i], '</p>')[1]
+                          ELSE array_to_string(s[i:], '') END AS block
+  FROM parts, unnest(range(2, len(s) + 1)) t(i))
+SELECT p.page_id, p.url, coalesce(b.body, '') AS body
+FROM parts p LEFT JOIN (
+  SELECT page_id, string_agg({unescape.format(body.format("block"))} || chr(10), '' ORDER BY i) AS body
+  FROM blocks GROUP BY page_id) b ON b.page_id = p.page_id"""
     q["page_exclusion"] = """
 SELECT page_id, url FROM pages
 WHERE NOT contains(html, '<a href="/The">') AND NOT contains(html, '<a href="/En">')"""
@@ -443,13 +484,7 @@ UNION ALL SELECT 'events.type', event_type, count(*) FROM events
     # ---- keywords
     q["keyword_ctfidf"] = _with(
         _scored("grams"),
-        rf"""words AS (
-  SELECT article_id, list_filter(tk, lambda x: NOT regexp_full_match(x, '\p{{Nd}}+') AND x NOT IN ({_STOP})) AS w
-  FROM tokens)""",
-        """phrases AS (
-  SELECT article_id, unnest(w) AS keyword FROM words
-  UNION ALL
-  SELECT article_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)""",
+        *_PHRASES,
         """grams AS (
   SELECT w.entity_id, w.week_start, w.cluster_id, p.keyword, count(*) AS cnt
   FROM weekly_topic w JOIN phrases p ON p.article_id = w.article_id
@@ -457,9 +492,7 @@ UNION ALL SELECT 'events.type', event_type, count(*) FROM events
     )
     q["people_keywords"] = _with(
         _scored("people"),
-        r"""names AS (
-  SELECT article_id, lower(unnest(regexp_extract_all(full_text,
-    '\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}'))) AS keyword FROM articles)""",
+        _NAMES,
         """people AS (
   SELECT w.entity_id, w.week_start, w.cluster_id, p.keyword, count(*) AS cnt
   FROM weekly_topic w JOIN names p ON p.article_id = w.article_id
@@ -475,6 +508,29 @@ WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.entity_id = k.entity_id AND o.week
   WHERE NOT list_contains(string_split(l.pattern, '|'), k.keyword))""",
     )
 
+    q["keyword_centroid"] = _with(
+        """
+SELECT entity_id, week_start, cluster_id, keyword,
+       round(coalesce(sum(p * c) / nullif(sqrt(sum(p * p) * sum(c * c)), 0), 0), 5) AS score
+FROM (SELECT h.entity_id, h.week_start, h.cluster_id, h.keyword, h.i, avg(h.v) AS p, any_value(c.v) AS c
+      FROM (SELECT h.*, d.i, d.v FROM held h JOIN dims d ON d.article_id = h.article_id) h
+      JOIN (SELECT w.entity_id, w.week_start, w.cluster_id, d.i, avg(d.v) AS v
+            FROM weekly_topic w JOIN dims d ON d.article_id = w.article_id
+            WHERE w.cluster_id IS NOT NULL GROUP BY ALL) c
+        ON c.entity_id = h.entity_id AND c.week_start = h.week_start AND c.cluster_id = h.cluster_id AND c.i = h.i
+      GROUP BY ALL)
+GROUP BY ALL""",
+        """dims AS (
+  SELECT vec_id AS article_id, unnest(range(1, len(embedding) + 1)) AS i,
+         CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)""",
+        r"""held AS (
+  SELECT DISTINCT k.entity_id, k.week_start, k.cluster_id, k.keyword, w.article_id
+  FROM weekly_keywords k
+  JOIN weekly_topic w ON w.entity_id = k.entity_id AND w.week_start = k.week_start AND w.cluster_id = k.cluster_id
+  JOIN tokens t ON t.article_id = w.article_id AND list_contains(t.tk, k.keyword)
+  WHERE w.article_id IN (SELECT vec_id FROM embeddings) AND NOT regexp_full_match(k.keyword, '\p{Nd}+'))""",
+    )
+
     # ---- clusters
     q["elbow_k"] = _with(
         """
@@ -509,17 +565,61 @@ FROM points p LEFT JOIN best b ON b.entity_id = p.entity_id AND b.week_start = p
 LEFT JOIN placed l ON l.entity_id = p.entity_id AND l.week_start = p.week_start AND l.article_id = p.article_id
   AND l.k = b.k""",
         *_KMEANS,
-        """curves AS (
-  SELECT entity_id, week_start, k, sum(dist) AS inertia FROM placed GROUP BY ALL)""",
-        """best AS (
-  SELECT entity_id, week_start, k FROM (
-    SELECT *, row_number() OVER (PARTITION BY entity_id, week_start ORDER BY off DESC, k) AS rn
-    FROM (SELECT *, CASE WHEN d <= 1e-9 * abs(i0 - i1) THEN 0.0e0 ELSE d END AS off
-          FROM (SELECT *, abs(inertia - (i0 - (k - k0) * ((i0 - i1) / greatest(k1 - k0, 1)))) AS d
-                FROM (SELECT *, min(k) OVER e AS k0, max(k) OVER e AS k1,
-                             arg_min(inertia, k) OVER e AS i0, arg_max(inertia, k) OVER e AS i1
-                      FROM curves WINDOW e AS (PARTITION BY entity_id, week_start)))))
-  WHERE rn = 1)""",
+        *_BEST,
+    )
+
+    # The whole weekly job: touched weeks get new clusters and keywords, others stay.
+    def best_ten(name: str, phrases: str) -> list[str]:
+        return [
+            f"""{name}_counts AS (
+  SELECT m.entity_id, m.week_start, m.cluster_id, p.keyword, count(*) AS cnt
+  FROM members m JOIN {phrases} p ON p.article_id = m.article_id GROUP BY ALL)""",
+            f"""{name}_best AS (
+  SELECT entity_id, week_start, cluster_id, keyword, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, week_start, cluster_id ORDER BY score DESC, keyword) AS rank
+    FROM (SELECT c.*, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY entity_id, week_start, cluster_id)
+                 * ln(1.0e0 + (SELECT avg(n) FROM (SELECT sum(cnt) AS n FROM {name}_counts
+                                                 GROUP BY entity_id, week_start, cluster_id))
+                      / sum(cnt) OVER (PARTITION BY keyword)) AS score
+          FROM {name}_counts c)) WHERE rank <= 10)""",
+        ]
+
+    q["weekly_storylines"] = _with(
+        """
+SELECT k.entity_id, k.week_start, CAST(k.week_start + INTERVAL 6 DAY AS DATE) AS week_end, k.cluster_id, k.keyword,
+       round(k.score, 6) AS score, s.size
+FROM (SELECT * FROM cleaned c
+      WHERE NOT EXISTS (SELECT 1 FROM cleaned o WHERE o.entity_id = c.entity_id AND o.week_start = c.week_start
+        AND o.cluster_id = c.cluster_id AND o.keyword <> c.keyword AND contains(o.keyword, c.keyword))) k
+JOIN (SELECT entity_id, week_start, cluster_id, count(*) AS size FROM members GROUP BY ALL) s
+  ON s.entity_id = k.entity_id AND s.week_start = k.week_start AND s.cluster_id = k.cluster_id
+UNION ALL
+SELECT k.entity_id, k.week_start, CAST(k.week_start + INTERVAL 6 DAY AS DATE), k.cluster_id, k.keyword,
+       round(k.score, 6), c.size
+FROM weekly_keywords k JOIN weekly_clusters c
+  ON c.entity_id = k.entity_id AND c.week_start = k.week_start AND c.cluster_id = k.cluster_id
+WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.entity_id = k.entity_id AND t.week_start = k.week_start)""",
+        *_KMEANS,
+        *_BEST,
+        *_PHRASES,
+        _NAMES,
+        """touched AS (
+  SELECT DISTINCT w.entity_id, w.week_start FROM weekly_topic w JOIN embeddings e ON e.vec_id = w.article_id
+  WHERE w.cluster_id IS NULL AND w.week_end < DATE '2025-08-01')""",
+        """members AS (
+  SELECT p.entity_id, p.week_start, p.article_id, CAST(coalesce(l.c, 0) AS INTEGER) AS cluster_id
+  FROM points p JOIN touched t ON t.entity_id = p.entity_id AND t.week_start = p.week_start
+  LEFT JOIN best b ON b.entity_id = p.entity_id AND b.week_start = p.week_start
+  LEFT JOIN placed l ON l.entity_id = p.entity_id AND l.week_start = p.week_start
+    AND l.article_id = p.article_id AND l.k = b.k)""",
+        *best_ten("general", "phrases"),
+        *best_ten("person", "names"),
+        r"""cleaned AS (
+  SELECT k.entity_id, k.week_start, k.cluster_id, k.keyword, max(k.score) AS score
+  FROM (SELECT * FROM general_best UNION ALL SELECT * FROM person_best) k
+  JOIN lexicon l ON l.entity_id = k.entity_id
+  WHERE NOT list_has_any(string_split(l.pattern, '|'), regexp_split_to_array(k.keyword, '[^\p{L}\p{N}_]+'))
+  GROUP BY ALL)""",
     )
 
     # ---- topic models

@@ -126,8 +126,9 @@ def label_distribution(spark, sf):
 @query
 def entity_match(spark, sf):
     docs = S.articles(spark, sf).select("article_id", "full_text")
-    hit = entities.match_entities(docs, S.lexicon(spark), text=F.col("full_text"))
-    return hit.where(F.size("teams") > 0).select("article_id", F.array_join("teams", "|").alias("teams"))
+    lex, text = S.lexicon(spark), F.col("full_text")
+    hit = entities.match_entities(docs.where(entities.mentions_any(text, lex)), lex, text=text)
+    return hit.select("article_id", F.array_join("teams", "|").alias("teams"))
 
 
 @query
@@ -149,7 +150,7 @@ def entity_assign(spark, sf):
     docs = S.articles(spark, sf).select("article_id", "full_text")
     lex = S.lexicon(spark)
     given = entities.assign_entities(entities.mention_hits(docs, lex), lex)
-    return given.select("article_id", F.explode("assigned").alias("entity_id"))
+    return entities.explode_assigned(given, ["article_id"])
 
 
 @query
@@ -607,7 +608,8 @@ def weekly_storylines(spark, sf):
         as_of=F.lit("2025-08-01").cast("date"),
         stop_words=S.STOP_WORDS,
     )
-    return out["weekly_keywords"].join(out["weekly_clusters"], weekly.CLUSTER)
+    rows = out["weekly_keywords"].join(out["weekly_clusters"], weekly.CLUSTER)
+    return rows.select(*weekly.CLUSTER, "keyword", _r("score"), "size")
 
 
 # ---- topic models ---------------------------------------------------------------------

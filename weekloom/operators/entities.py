@@ -199,23 +199,9 @@ def assign_entities(
     ("first"), its only known entity ("fallback", needs ``known_ids_col``), or nothing
     ("drop").
     """
-    ranked = F.array_sort(
-        F.transform(
-            "hits",
-            lambda h: F.struct(
-                (-h["cnt"]).alias("neg"), h["ord"].alias("ord"), h["entity_id"].alias("entity_id")
-            ),
-        )
-    )
-    top = F.element_at(F.col("_ranked"), 1)
-    others = F.filter(
-        "hits", lambda h: (h["cnt"] >= min_count) & (h["entity_id"] != top["entity_id"])
-    )
-    found = F.concat(F.array(top["entity_id"]), F.transform(others, lambda h: h["entity_id"]))
     nothing = F.array().cast("array<int>")
     if on_no_match == "first":
-        first = lexicon.select(F.min_by("entity_id", "ord").alias("id")).scalar()
-        missing = F.array(first)
+        missing = F.array(lexicon.select(F.min_by("entity_id", "ord").alias("id")).scalar())
     elif on_no_match == "fallback":
         known = F.col(known_ids_col)
         missing = F.when(F.size(known) == 1, known.cast("array<int>")).otherwise(nothing)
@@ -223,10 +209,28 @@ def assign_entities(
         missing = nothing
     else:
         raise ValueError(f"on_no_match: {on_no_match}")
-    return (
-        hits.withColumn("_ranked", ranked)
-        .withColumn("assigned", F.when(F.size("hits") > 0, found).otherwise(missing))
-        .drop("_ranked")
+
+    def choose(found: Column) -> Column:
+        ranked = F.array_sort(
+            F.transform(
+                found,
+                lambda h: F.struct(
+                    (-h["cnt"]).alias("neg"), h["ord"].alias("ord"), h["entity_id"].alias("id")
+                ),
+            )
+        )
+        top = F.get(ranked, F.lit(0))["id"]
+        others = F.filter(found, lambda h: (h["cnt"] >= min_count) & (h["entity_id"] != top))
+        both = F.concat(F.array(top), F.transform(others, lambda h: h["entity_id"]))
+        return F.when(F.size(found) > 0, both)
+
+    return hits.withColumn("assigned", F.coalesce(_with_value(F.col("hits"), choose), missing))
+
+
+def explode_assigned(given: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per (text, assigned entity)."""
+    return given.select(*keep, F.explode_outer("assigned").alias("entity_id")).where(
+        F.col("entity_id").isNotNull()
     )
 
 

@@ -93,12 +93,20 @@ def score_centroid(
     id_col: str = "article_id",
     low: int = 1,
     high: int = 2,
+    stop_words: list[str] = (),
 ) -> DataFrame:
     """Cosine between the cluster's mean vector and the mean vector of the cluster's
-    articles that hold the candidate."""
+    articles that hold the candidate.
+
+    Phrases are formed as in ``phrase_counts``; use the same ``stop_words`` there and here.
+    """
     vec = array_to_vector(F.col(vector_col).cast("array<double>"))
     grams = explode_ngrams(
-        members.select(*group_cols, id_col, wordy_tokens(F.col(text_col)).alias("_words")),
+        members.select(
+            *group_cols,
+            id_col,
+            drop_words(wordy_tokens(F.col(text_col)), list(stop_words)).alias("_words"),
+        ),
         [*group_cols, id_col],
         "_words",
         low,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekloom import vocab
 from weekloom.functions.words import blank_to_null, feed_time, join_text, name_code
-from weekloom.operators.entities import match_entities
+from weekloom.operators.entities import match_entities, mentions_any
 from weekloom.operators.merge import (
     assign_ids,
     insert_ignore,
@@ -47,8 +47,11 @@ def select_items(
     if tags:
         dated = dated.where(F.get("tags", F.lit(0)).isin(list(tags)))
     text = join_text(F.col("title"), F.col("summary"))
-    matched = match_entities(dated, lexicon, text=text, out_col="teams")
-    return matched.where(F.size("teams") > 0)
+    hit = mentions_any(text, lexicon)
+    if hit is not None:
+        # The test for any alias is cheaper than building the list, so it goes first.
+        return match_entities(dated.where(hit), lexicon, text=text, out_col="teams")
+    return match_entities(dated, lexicon, text=text, out_col="teams").where(F.size("teams") > 0)
 
 
 def rejected_items(feed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from weekloom.functions.words import code_name
 from weekloom.operators.entities import (
     assign_entities,
     drop_frequent_term,
+    explode_assigned,
     known_entities,
     mention_hits,
 )
@@ -39,12 +40,12 @@ def training_extract(
     given = assign_entities(
         hits, lexicon, min_count=min_count, on_no_match=on_no_match, known_ids_col="known_ids"
     )
-    rows = given.select(
+    rows = explode_assigned(given, needed).select(
         "full_text",
         "article_id",
         code_name(F.col("outlet_id"), outlet_names, None).alias("outlet"),
         F.col("publication_date").alias("date"),
-        F.explode("assigned").alias("entity_id"),
+        "entity_id",
         "title",
     )
     names = lexicon.select("entity_id", F.col("name").alias("team"))
