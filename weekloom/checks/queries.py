@@ -518,7 +518,7 @@ def _members(spark, sf):
 @query
 def keyword_ctfidf(spark, sf):
     counts = keywords.phrase_counts(_members(spark, sf), STORY, stop_words=S.STOP_WORDS)
-    best = keywords.top_keywords(keywords.score_ctfidf(counts, STORY), STORY)
+    best = keywords.top_ctfidf(counts, STORY)
     return best.select(*STORY, "keyword", "cnt", _r("score"), "rank")
 
 

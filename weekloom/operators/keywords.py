@@ -83,6 +83,44 @@ def score_ctfidf(counts: DataFrame, group_cols: list[str]) -> DataFrame:
     )
 
 
+def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFrame:
+    """``top_keywords`` of ``score_ctfidf``, without scoring the long tail.
+
+    A phrase occurs in all clusters together at least as often as in its own, and at most
+    as often as the commonest phrase. The first gives the highest score its count allows,
+    the second a score that the ``k`` phrases of highest count are sure to reach. Phrases
+    whose highest score lies below that are left out before counts meet their totals, a
+    join that would shuffle every count otherwise. The result is the same.
+    """
+    # Few rows: the distinct counts of each cluster, and how many phrases have them.
+    steps = counts.groupBy(*group_cols, "cnt").agg(F.count(F.lit(1)).alias("_phrases"))
+    falling = Window.partitionBy(*group_cols).orderBy(F.desc("cnt"))
+    reached = steps.withColumn("_upto", F.sum("_phrases").over(falling))
+    per_cluster = reached.groupBy(*group_cols).agg(
+        F.sum(F.col("cnt") * F.col("_phrases")).alias("_size"),
+        # The k-th highest count; the lowest there is if the cluster has fewer phrases.
+        F.greatest(
+            F.min("cnt"), F.coalesce(F.max(F.when(F.col("_upto") >= k, F.col("cnt"))), F.lit(0))
+        ).alias("_kth"),
+    )
+    spread = counts.groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
+    mean = per_cluster.select(F.avg("_size").alias("m")).scalar()
+    most = spread.select(F.max("_everywhere").alias("f")).scalar()
+
+    def value(cnt: Column, everywhere: Column) -> Column:
+        return cnt * F.log(F.lit(1.0) + mean / everywhere)
+
+    able = value(F.col("cnt"), F.col("cnt"))
+    sure = value(F.col("_kth"), most) * F.lit(1.0 - 1e-9)
+    kept = counts.join(per_cluster, group_cols).where(able >= sure)
+    tf = F.col("cnt").cast("double") / F.col("_size")
+    idf = F.log(F.lit(1.0) + mean / F.col("_everywhere"))
+    scored = kept.join(spread, "keyword").select(
+        *group_cols, "keyword", "cnt", (tf * idf).alias("score")
+    )
+    return top_keywords(scored, group_cols, k)
+
+
 def score_centroid(
     members: DataFrame,
     candidates: DataFrame,
@@ -175,22 +213,26 @@ def drop_contained(keywords: DataFrame, group_cols: list[str]) -> DataFrame:
         )
         .select(*group_cols, "_low", "_best.keyword", "_best.score")
     )
+    # Only substrings as long as some keyword of the cluster can equal one.
+    lengths = single.groupBy(*group_cols).agg(F.collect_set(F.length("_low")).alias("_lengths"))
     size = F.length("_low")
     cuts = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), size),
+            F.filter("_lengths", lambda n: (n > 0) & (n < size)),
             lambda n: F.transform(
                 F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("_low", i, n)
             ),
         )
     )
     inside = (
-        single.where(size > 1)
-        .select(*group_cols, "_low", F.explode(F.array_distinct(cuts)).alias("_part"))
-        .where(F.col("_part") != F.col("_low"))
-        .select(*group_cols, F.col("_part").alias("_low"))
+        single.join(lengths, group_cols)
+        .select(*group_cols, F.explode(F.array_distinct(cuts)).alias("_low"))
     )
-    return single.join(inside, [*group_cols, "_low"], "left_anti").drop("_low")
+    kept = single.join(inside, [*group_cols, "_low"], "left_anti")
+    # The empty keyword is part of any other.
+    others = single.where(size > 0).select(*group_cols).distinct()
+    empty = kept.where(size == 0).join(others, group_cols, "left_anti")
+    return kept.where(size > 0).unionByName(empty).drop("_low")
 
 
 def clean_keywords(

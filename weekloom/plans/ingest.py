@@ -12,6 +12,7 @@ from weekloom.functions.words import blank_to_null, feed_time, join_text, name_c
 from weekloom.operators.entities import match_entities, mentions_any
 from weekloom.operators.merge import (
     assign_ids,
+    fold_updates,
     insert_ignore,
     last_id,
     lookup_or_create,
@@ -152,18 +153,25 @@ def upsert_scraped(
     authors = lookup_or_create(
         tables["authors"], rows, name_col="author", key_collation=author_collation
     )
-    key = F.collate("name", author_collation) if author_collation else F.col("name")
-    wanted = F.collate("author", author_collation) if author_collation else F.col("author")
-    by_name = authors.select(F.col("id").alias("author_id"), key.alias("_name"))
-    linked = rows.join(by_name, wanted == F.col("_name"), "left")
-
     fresh = rows.select("link").distinct().join(tables["articles"].select("link"), "link", "left_anti")
     new_ids = assign_ids(fresh, "link", last_id(tables["articles"])).select("link", "id")
-    columns = ["link", "title", "summary", "publication_date", "outlet_id", "author_id", "full_text"]
-    updates = linked.select(*columns, "order_no").join(new_ids, "link", "left")
-    articles = merge(
-        tables["articles"], updates, ["link"], ["title", "summary", "full_text"], order_col="order_no"
+    # Copies of a link are folded first, so no join sees a hot link.
+    texts = ["title", "summary", "full_text"]
+    columns = ["link", *texts, "publication_date", "outlet_id", "author"]
+    folded = fold_updates(rows.select(*columns, "order_no"), ["link"], texts, "order_no")
+    # Rows without an author would all meet in one task under the key NULL.
+    name = F.coalesce("author", F.concat(F.lit("\0"), "link"))
+    by_name = authors.select(F.col("id").alias("author_id"), F.col("name").alias("_name"))
+    if author_collation:
+        name = F.collate(name, author_collation)
+        by_name = by_name.withColumn("_name", F.collate("_name", author_collation))
+    updates = (
+        folded.withColumn("_author", name)
+        .join(by_name, F.col("_author") == F.col("_name"), "left")
+        .drop("author", "_author", "_name")
+        .join(new_ids, "link", "left")
     )
+    articles = merge(tables["articles"], updates, ["link"], texts)
     every_id = tables["articles"].select("link", "id").unionByName(new_ids)
     bridge = (
         named.select("link", "team_id").distinct()

@@ -15,8 +15,7 @@ from weekloom.operators.keywords import (
     clean_keywords,
     people_counts,
     phrase_counts,
-    score_ctfidf,
-    top_keywords,
+    top_ctfidf,
 )
 from weekloom.operators.merge import merge
 from weekloom.operators.topics import predict_topics
@@ -78,12 +77,12 @@ def cluster_keywords(
     gazetteer: DataFrame | None = None,
 ) -> DataFrame:
     """Best general and people keywords of every cluster, cleaned up."""
-    general = score_ctfidf(phrase_counts(members, group_cols, stop_words=stop_words), group_cols)
-    people = score_ctfidf(people_counts(members, group_cols, gazetteer=gazetteer), group_cols)
+    general = phrase_counts(members, group_cols, stop_words=stop_words)
+    people = people_counts(members, group_cols, gazetteer=gazetteer)
     both = (
-        top_keywords(general, group_cols, top_n)
+        top_ctfidf(general, group_cols, top_n)
         .withColumn("kind", F.lit("general"))
-        .unionByName(top_keywords(people, group_cols, top_n).withColumn("kind", F.lit("people")))
+        .unionByName(top_ctfidf(people, group_cols, top_n).withColumn("kind", F.lit("people")))
     )
     return clean_keywords(both.select(*group_cols, "keyword", "score"), group_cols, lexicon)
 
