@@ -335,6 +335,17 @@ WHERE len(list_filter(tk, lambda x: x = 'was')) < 5
   AND a.article_id IN (SELECT article_id FROM article_entities)""",
         assigned,
     )
+    q["training_file"] = _with(
+        """
+SELECT a.article_id, o.name AS outlet, a.publication_date AS date, s.name AS team,
+       CAST(length(a.full_text) AS INTEGER) AS n_chars
+FROM articles a JOIN outlets o ON o.id = a.outlet_id
+JOIN tokens t ON t.article_id = a.article_id
+JOIN (SELECT article_id, name FROM (
+        SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY cnt DESC, ord) AS rn FROM entity_counts)
+      WHERE rn = 1 OR cnt >= 3) s ON s.article_id = a.article_id
+WHERE len(list_filter(tk, lambda x: x = 'women')) < 5"""
+    )
     q["week_bucket"] = """
 SELECT event_id, CAST(date_trunc('week', ts) AS DATE) AS week_start,
        CAST(date_trunc('week', ts) + INTERVAL 6 DAY AS DATE) AS week_end FROM events"""
@@ -379,6 +390,23 @@ SELECT p.page_id, p.url, coalesce(b.body, '') AS body
 FROM parts p LEFT JOIN (
   SELECT page_id, string_agg({unescape.format(body.format("block"))} || chr(10), '' ORDER BY i) AS body
   FROM blocks GROUP BY page_id) b ON b.page_id = p.page_id"""
+    q["ingest_articles"] = _with(
+        rf"""
+SELECT link, published_at, author, teams, standfirst AS summary, article, 'test' AS outlet
+FROM (SELECT p.url AS link, TIMESTAMP '2025-06-01 00:00:00' + to_hours(CAST(p.page_id AS INTEGER)) AS published_at,
+             h.author, h.standfirst, t.body AS article,
+             (SELECT string_agg(name, '|' ORDER BY ord) FROM lexicon l
+              WHERE list_has_any(string_split(l.pattern, '|'), regexp_split_to_array(
+                lower(regexp_extract(p.html, '(?s)<title>(.*?)</title>', 1)), '[^\p{{L}}\p{{N}}_]+'))) AS teams
+      FROM pages p
+      JOIN (SELECT url, min_by(page_id, html) AS page_id FROM pages GROUP BY url) u ON u.url = p.url
+      JOIN ({q["page_headings"]}) h ON h.page_id = u.page_id
+      JOIN ({q["page_text"]}) t ON t.page_id = u.page_id
+      JOIN (SELECT page_id FROM pages WHERE NOT contains(html, '<a href="/The">')
+            AND NOT contains(html, '<a href="/En">')) x ON x.page_id = u.page_id)
+WHERE teams IS NOT NULL AND published_at BETWEEN TIMESTAMP '2025-06-02 00:00:00' AND TIMESTAMP '2026-06-01 00:00:00'
+  AND article <> '' AND NOT contains(article, 'Nicht')"""
+    )
     q["page_exclusion"] = """
 SELECT page_id, url FROM pages
 WHERE NOT contains(html, '<a href="/The">') AND NOT contains(html, '<a href="/En">')"""

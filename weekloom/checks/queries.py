@@ -255,6 +255,57 @@ def page_text(spark, sf):
     return _pages(spark, sf).select("page_id", "url", "body")
 
 
+@query
+def ingest_articles(spark, sf):
+    """Feed items about all pages, taken through selection, page reading and clean-up."""
+    raw = S.table(spark, sf, "pages")
+    feed = raw.select(
+        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.lit(None).cast("string").alias("summary"),
+        F.col("url").alias("link"),
+        F.concat(
+            F.date_format(
+                F.expr("timestamp_ntz '2025-06-01 00:00:00' + make_dt_interval(0, cast(page_id as int), 0, 0)"),
+                "EEE, dd MMM yyyy HH:mm:ss",
+            ),
+            F.lit(" GMT"),
+        ).alias("published"),
+        F.array().cast("array<string>").alias("tags"),
+    )
+    rows = ingest.ingest_feed(
+        feed,
+        raw.select("url", "html"),
+        S.lexicon(spark),
+        "test",
+        lower=F.expr("timestamp_ntz '2025-06-02 00:00:00'"),
+        upper=F.expr("timestamp_ntz '2026-06-01 00:00:00'"),
+        selectors=_PAGE_RULES,
+        rules={"tags": [], "excluded_hrefs": ["/The", "/En"], "promo_lines": []},
+        excluded_term="Nicht",
+    )
+    return rows.select(
+        "link", "published_at", "author", F.array_join("teams", "|").alias("teams"), "summary", "article", "outlet"
+    )
+
+
+@query
+def training_file(spark, sf):
+    """The training extract written as CSV and read back."""
+    path = fresh_path(spark, "training")
+    rows = training.training_extract(
+        S.articles(spark, sf),
+        S.article_entities(spark, sf),
+        S.lexicon(spark),
+        outlet_names=dict(S.OUTLETS),
+        on_no_match="drop",
+        min_count=3,
+    )
+    tables.write_csv(rows.select("article_id", "outlet", "date", "team", F.length("full_text").alias("n_chars")), path)
+    return spark.read.option("header", True).schema(
+        "article_id long, outlet string, date timestamp_ntz, team string, n_chars int"
+    ).csv(path)
+
+
 @query
 def page_headings(spark, sf):
     return _pages(spark, sf).select("page_id", "author", "standfirst")

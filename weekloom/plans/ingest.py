@@ -75,11 +75,16 @@ def ingest_feed(
     """Scraped rows of one outlet (see ``schemas.SCRAPED``).
 
     Items are filtered before they meet the pages; an item without a page, or whose page
-    has no body, is dropped, as is a body that holds the excluded term.
+    has no body, is dropped, as is a body that holds the excluded term. Of several copies
+    of a page the first by text is taken.
     """
     rules = OUTLET_RULES[outlet] if rules is None else rules
     items = select_items(feed, lexicon, lower=lower, upper=upper, tags=rules["tags"])
-    fetched = items.join(pages.select(F.col("url").alias("link"), "html"), "link").withColumn(
+    # Every page wanted is read once, however many items or copies of it there are.
+    wanted = pages.select(F.col("url").alias("link"), "html").join(
+        items.select("link"), "link", "left_semi"
+    )
+    fetched = wanted.groupBy("link").agg(F.min("html").alias("html")).withColumn(
         "outlet", F.lit(outlet)
     )
     read = extract_pages(
@@ -88,9 +93,10 @@ def ingest_feed(
         promo_lines=rules["promo_lines"],
         excluded_hrefs=rules["excluded_hrefs"],
     )
-    kept = drop_pages_linking_to(read).where(
+    usable = drop_pages_linking_to(read).where(
         (F.col("body") != "") & ~F.col("body").contains(excluded_term)
     )
+    kept = items.join(usable, "link")
     own_summary = bool(selectors[outlet]["standfirst"])
     return kept.select(
         "title",
