@@ -369,9 +369,10 @@ SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'a & b <c>' AS sum
        CASE WHEN article_id % 2 = 0 THEN 'News Story' ELSE 'Live' END AS tags
 FROM articles"""
     )
+    # A cut-off title may end in an entity without its semicolon.
     unescape = (
-        "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
-        " '&#x27;', ''''), '&#39;', ''''), '&amp;', '&')"
+        "regexp_replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
+        " '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g')"
     )
     q["page_headings"] = f"""
 SELECT page_id, {unescape.format("trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))")} AS author,
