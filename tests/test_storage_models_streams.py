@@ -54,17 +54,36 @@ def test_weekly_layout_prunes(spark, tmp_path):
 
 def test_publish_all_or_nothing(spark, tmp_path):
     base = str(tmp_path / "base")
-    assert P.current_version(spark, base) == (0, {})
+    assert P.current_version(spark, base) == P.Version()
     assert P.publish(spark, base, {"a": spark.range(3), "b": spark.range(1)}) == 1
     boom = spark.range(5).select(F.raise_error(F.lit("boom")).cast("long").alias("id"))
     with pytest.raises(Exception):
         P.publish(spark, base, {"a": spark.range(9), "b": boom})
-    assert P.current_version(spark, base)[0] == 1
+    assert P.current_version(spark, base).number == 1
     assert P.read_published(spark, base, "a").count() == 3
     assert P.publish(spark, base, {"b": P.read_published(spark, base, "b").union(spark.range(1))}) == 2
     assert (P.read_published(spark, base, "a").count(), P.read_published(spark, base, "b").count()) == (3, 2)
 
 
+def test_publish_by_weeks(spark, tmp_path):
+    base = str(tmp_path / "base")
+    a, b, c = (dt.date(2025, 8, d) for d in (4, 11, 18))
+    schema = "id int, v string, week_start date"
+    P.publish_weeks(spark, base, {"w": spark.createDataFrame([(1, "x", a), (2, "x", b)], schema)})
+    first = P.current_version(spark, base).weeks["w"]
+    new = spark.createDataFrame([(2, "y", b), (3, "y", c)], schema)
+    assert P.merge_published(spark, base, "w", new, ["id", "week_start"], ["v"]) == 2
+    got = {tuple(r) for r in P.read_published(spark, base, "w").select("id", "v", "week_start").collect()}
+    assert got == {(1, "x", a), (2, "y", b), (3, "y", c)}
+    now = P.current_version(spark, base).weeks["w"]
+    assert now[str(a)] == first[str(a)] and now[str(b)] != first[str(b)]
+    assert P.read_published(spark, base, "w", [a]).count() == 1
+    assert P.read_published(spark, base, "w", [dt.date(2024, 1, 1)]).count() == 0
+    P.publish_weeks(spark, base, {"w": new.where("id = 3")}, [b, c])
+    assert {r["id"] for r in P.read_published(spark, base, "w").collect()} == {1, 3}
+    assert P.merge_published(spark, base, "w", new.limit(0), ["id", "week_start"], ["v"]) == 3
+
+
 @pytest.fixture(scope="module")
 def examples(spark):
     rng = np.random.default_rng(0)

@@ -813,7 +813,7 @@ def stream_topic_merge(spark, sf):
     """Labels arrive as a stream and are merged into the published topic table."""
     base = fresh_path(spark, "live")
     topic = S.weekly_topic(spark, sf)
-    publish.publish(spark, base, {"topic": topic})
+    publish.publish_weeks(spark, base, {"topic": topic})
     pairs = topic.select(*ROW)
 
     def rows_for(batch):

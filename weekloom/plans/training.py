@@ -35,7 +35,10 @@ def training_extract(
     needed = ["article_id", "full_text", "outlet_id", "publication_date", "title"]
     usable = articles.select(*needed).dropna(subset=needed)
     usable = drop_frequent_term(usable, excluded_term, excluded_min, "full_text")
-    usable = usable.join(known_entities(article_entities), "article_id")
+    if on_no_match == "fallback":
+        usable = usable.join(known_entities(article_entities), "article_id")
+    else:
+        usable = usable.join(article_entities.select("article_id"), "article_id", "left_semi")
     hits = mention_hits(usable, lexicon)
     given = assign_entities(
         hits, lexicon, min_count=min_count, on_no_match=on_no_match, known_ids_col="known_ids"

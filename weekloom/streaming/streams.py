@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weekloom.operators.merge import merge
 from weekloom.operators.topics import predict_topics
-from weekloom.sources.publish import current_version, publish, read_published
+from weekloom.sources.publish import merge_published
 
 # Spark counts windows from 1970-01-01, a Thursday; four days later is a Monday.
 WEEK, MONDAY = "7 days", "4 days"
@@ -67,17 +66,14 @@ def merge_stream(
 ) -> StreamingQuery:
     """Merge every micro-batch into a published table, as the batch merge would.
 
-    The merge gives the same table if a batch is run again after a failure.
+    Keep weekly tables by weeks (``publish_weeks``), so that a batch rewrites only the
+    weeks it touches. The merge gives the same table if a batch is run again after a
+    failure.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         new = prepare(batch) if prepare else batch
-        _, paths = current_version(spark, base)
-        if table not in paths:
-            raise ValueError(f"publish a first version of {table}")
-        merged = merge(read_published(spark, base, table), new, keys, update_cols, order_col=order_col)
-        publish(spark, base, {table: merged})
+        merge_published(batch.sparkSession, base, table, new, keys, update_cols, order_col=order_col)
 
     return (
         rows.writeStream.foreachBatch(apply)
