@@ -167,7 +167,7 @@ def documents_from_files(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return based.repartition("path").mapInArrow(read, DOCS)
+    return based.repartition(max(1, manifest.count()), "path").mapInArrow(read, DOCS)
 
 
 def token_documents(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
