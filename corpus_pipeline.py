@@ -1,5 +1,56 @@
-"""Placeholder until all stages exist."""
-ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""From raw documents to packed sequences: toxicity, near duplicates, benchmark leaks, packing."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weekloom.llm.common import table, written
+from weekloom.llm.decontaminate import leaks
+from weekloom.llm.near_dup import near_duplicates
+from weekloom.llm.packing import pack_documents
+from weekloom.llm.toxicity import THRESHOLD, learnable, score_texts, train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = train(docs, learnable(table(spark, sf_dir, "labels")))
+    return score_texts(docs, model).filter(F.col("toxicity") < THRESHOLD).drop("toxicity")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8 or more)."""
+    return _without(docs, written(near_duplicates(docs, words=5, percent=80).filter("not kept"), "duplicates"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).filter("doc_id is not null")
+    return _without(docs, written(found.select("doc_id").distinct(), "leaks"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of 2048 ids."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # a trained classifier and a tokenizer are no SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

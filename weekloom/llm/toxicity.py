@@ -26,6 +26,8 @@ ROWS = 1 << 18
 WIDTH = 8
 WINDOW = 8
 EPOCHS = 5
+BATCH = 64
+LEAST_STEPS = 200
 RATE = 0.3
 PER_CLASS = 4000
 THRESHOLD = 0.7
@@ -105,8 +107,9 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0
     rows, bounds = word_grams(words.data, words.begin[first], words.end[first])
     usable = np.flatnonzero(np.diff(words.bounds))
     per_word = np.diff(bounds)
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(usable), max(1, len(usable) // 256)):
+    batches = max(1, len(usable) // BATCH)
+    for _ in range(max(epochs, -(-LEAST_STEPS // batches)) if len(usable) else 0):
+        for batch in np.array_split(rng.permutation(usable), batches):
             spans = [np.arange(words.bounds[i], words.bounds[i + 1]) for i in batch]
             at = np.concatenate(spans) if spans else np.zeros(0, int)
             used, local = np.unique(place[at], return_inverse=True)
