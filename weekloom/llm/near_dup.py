@@ -129,11 +129,17 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(estimate, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents in ``ids``, which is written first: if it turns out
+    small, Spark sends it to the texts instead of shuffling them."""
+    needed = written(ids.select("id").distinct(), "near-ids")
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return written(text.join(needed, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach ``percent``: 100 * common >= percent * union."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = written(text.join(needed, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for b in batches for half in text_portions(b, 2) for part in text_portions(half, 3)):
@@ -190,7 +196,7 @@ def _first_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     small, large = buckets.filter(F.col("size") <= SMALL_BUCKET), buckets.filter(F.col("size") > SMALL_BUCKET)
     pairs = side(small, "a").join(side(small, "b"), "bucket").filter("a < b")
     weight = large.groupBy("id").agg(F.sum("size").alias("weight"))
-    leaders = large.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("l"))
+    leaders = large.join(weight.withColumnRenamed("id", "weighed"), F.col("id") == F.col("weighed")).groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("l"))
     stars = side(large, "b").join(leaders.select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("n_a")), "bucket").filter("a <> b")
     stars = stars.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     return pairs.select("a", "b", "n_a", "n_b").unionByName(stars.select("a", "b", "n_a", "n_b")).filter(_comparable(percent)).select("a", "b").distinct()
@@ -207,7 +213,8 @@ def _divided_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, pe
     members = large.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = members.select("bucket", "band", "id", "n", "component", "block", other).join(classes.select("id", "sketch"), "id")
+    members = members.join(classes.select(F.col("id").alias("member"), "sketch"), F.col("id") == F.col("member"))
+    cells = members.select("bucket", "band", "id", "n", "component", "sketch", "block", other)
     cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     floor = _least(percent / 100)
 
@@ -257,8 +264,7 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[int]:
 def _confirmed_cells(cells: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links among each cell's pairs, as far as they join anything; a cell gets each of its texts once."""
     ids = cells.select("cell", F.explode(F.array_distinct(F.concat("a", "b"))).alias("id"))
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = written(text.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    texts = _texts(docs, ids).withColumnRenamed("id", "text_id")
 
     def confirm(pairs: pa.Table, held: pa.Table) -> pa.Table:
         if not pairs.num_rows or not held.num_rows:
@@ -282,7 +288,7 @@ def _confirmed_cells(cells: DataFrame, docs: DataFrame, words: int, percent: int
         links = links[_forest(links[:, 0], links[:, 1])]
         return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
-    held = ids.join(texts, "id").select(F.col("cell").alias("of_cell"), "id", "text")
+    held = ids.join(texts, F.col("id") == F.col("text_id")).select(F.col("cell").alias("of_cell"), "id", "text")
     return cells.groupBy("cell").cogroup(held.groupBy("of_cell")).applyInArrow(confirm, "a long, b long")
 
 
@@ -301,10 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     key = ["n", "name_a", "name_b"]
     classes = written(named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch")), "classes")
     buckets = written(_buckets(classes), "buckets")
-    pairs = written(_likely(_first_pairs(buckets, percent), classes, percent / 100), "pairs")
+    sharing = written(classes.select("id", "n", "sketch").join(written(buckets.select("id").distinct(), "sharing-ids"), "id", "left_semi"), "sharing")
+    pairs = written(_likely(_first_pairs(buckets, percent), sharing, percent / 100), "pairs")
     links = written(_confirmed(pairs, docs, words, percent), "confirmed")
     labels = components(links)
-    more = written(_divided_pairs(buckets, labels, classes, percent), "divided-pairs")
+    more = written(_divided_pairs(buckets, labels, sharing, percent), "divided-pairs")
     if not more.isEmpty():
         labels = components(links.unionByName(_confirmed_cells(more, docs, words, percent)))
     classed = classes.drop("sketch").join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
