@@ -162,7 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     ``benchmark(item_id, text)`` is taken in blocks of bounded size, each of which is sent to
     the workers and met by all documents. ``score`` is the alignment score as a share of the
     item's own (1 is a copy, up to case and punctuation); the best passage of a document and item counts. Null or
-    blank texts, and items without id, match nothing. Documents without id give rows with a
+    blank texts, and items without id, match nothing; an item of fewer words than a seed is
+    looked for only as a whole text, for in a longer one it proves nothing. Documents without id give rows with a
     null doc_id. Repeated rows and items give a row each time. An empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext

@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         labels = components(links.unionByName(_confirmed_cells(more, docs, words, percent)))
     classed = classes.drop("sketch").join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     rows = sets.drop("sketch").join(classed, key, "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -24,11 +24,11 @@ from weekloom.llm.common import Words, mix, table
 SIZES = (3, 4, 5)
 ROWS = 1 << 18
 WIDTH = 8
-WINDOW = 8
+WINDOW = 3
 EPOCHS = 5
 BATCH = 64
-LEAST_STEPS = 200
-RATE = 0.3
+LEAST_STEPS = 500
+RATE = 0.5
 PER_CLASS = 4000
 THRESHOLD = 0.7
 
@@ -194,7 +194,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 def _portions(texts: pd.Series, chars: int = 1 << 22):
     """Runs of texts of about ``chars`` characters in all, so that memory is bounded."""
-    size = texts.str.len().fillna(0).cumsum().to_numpy() // chars
+    size = np.cumsum([len(t) if t else 0 for t in texts]) // chars
     for k in np.unique(size):
         yield texts[size == k]
 
