@@ -35,7 +35,7 @@ BASE = 1.02
 SMALL_BUCKET = 16
 BLOCK = 512
 SLACK = 5  # standard deviations of the likelihood estimate
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 # The pre-tokenizer patterns of the two supported kinds of file, on plain characters: fixed values.
 BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 JOINED = 400
 
 
@@ -104,7 +104,7 @@ def encoder(path: str) -> TextEncoder:
     return kept(("encoder", path), lambda: TextEncoder(path))
 
 
-def encoded(path: str, texts: list[str | None], chars: int = 1 << 21):
+def encoded(path: str, texts: list[str | None], chars: int = 1 << 20):
     """Ids text by text, ``chars`` characters of text in hand at a time."""
     at = 0
     while at < len(texts):

@@ -192,7 +192,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("toxicity", F.pandas_udf(score, "double")(F.col("text").cast("string")))
 
 
-def _portions(texts: pd.Series, chars: int = 1 << 22):
+def _portions(texts: pd.Series, chars: int = 1 << 20):
     """Runs of texts of about ``chars`` characters in all, so that memory is bounded."""
     size = np.cumsum([len(t) if t else 0 for t in texts]) // chars
     for k in np.unique(size):
