@@ -176,7 +176,7 @@ def test_toxicity_generalises_to_unseen_spellings(spark):
     rng = random.Random(1)
     parts = "an be cor du el fin gar hol im jo ka lun mor ne op pri qua ras sel tor".split()
     spoken = lambda n: ["".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(n)]
-    bad = ["grumblax", "grumbley", "grumbloid"]
+    bad = ["grumblax", "grumbley", "grumbloid", "grumbling", "grumbled", "grumbler"]
     rows, labels = [], []
     for i in range(400):
         w = spoken(rng.randrange(5, 80))
