@@ -58,7 +58,7 @@ def test_overlapping_aliases_use_one_pattern_each(spark, docs):
 @pytest.mark.parametrize("limit", [64, 0])
 def test_match_list_in_lexicon_order(docs, lexicon, limit):
     got = E.match_entities(
-        docs, lexicon, text=F.col("full_text"), inline_limit=limit, id_col="article_id"
+        docs, lexicon, text=F.col("full_text"), inline_limit=limit
     ).collect()
     want = {}
     for (i, name) in expected_counts():
@@ -106,3 +106,22 @@ def test_training_extract(spark, lexicon):
     assert {(r["article_id"], r["team"], r["outlet"]) for r in got} == {
         (1, "Arsenal", "BBC"), (3, "Tottenham Hotspur", "SkySports"),
     }
+
+
+ODD = ["s?purs", "gunners?", "(?:the )?reds?", "[cm]ity", "man(?:chester)? united", "a|the", "İstanbul", "ok_", "x{0,1}y z"]
+
+
+def test_patterns_give_the_same_hits_on_all_ways(spark):
+    """Optional first letters, groups and classes; repeated rows and rows without an id."""
+    texts = ["the purs and spurs win", "old gunner", "The Reds, red; mity city", "man united Manchester UNITED", None, "", "ok_ istanbul xy z y z"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "article_id long, full_text string")
+    rows = [(i, i, f"n{i}", p) for i, p in enumerate(ODD)] + [(50, 50, "plain", "old|win spurs|city")]
+    lex = spark.createDataFrame(rows, "entity_id int, ord int, name string, pattern string")
+
+    def found(limit):
+        got = E.mention_hits(docs, lex, inline_limit=limit).collect()
+        return sorted((str(r["article_id"]), str(r["full_text"]), [(h["name"], h["cnt"]) for h in r["hits"]]) for r in got)
+
+    inline = found(64)
+    assert inline == found(0)
+    assert ("0", texts[0], [("n0", 2), ("n5", 1)]) in inline and ("None", texts[1], [("n1", 1), ("plain", 1)]) in inline

@@ -18,12 +18,13 @@ WORDY_TOKEN = rf"(?<!{WORD})(?!\p{{Nd}}++(?!{WORD})){TOKEN}"
 
 
 def first_letters(alternatives: str) -> str:
-    """Look-ahead for the first characters of plain alternatives, "" if there is no such
-    short cut. It lets the matcher skip most positions of a text cheaply."""
-    firsts = {alias[:1] for alias in alternatives.split("|")}
-    if not all(f.isalnum() for f in firsts):
+    """Look-ahead for the first characters of alternatives made of letters, digits and
+    inner spaces only; "" if any holds something else, since a pattern need not begin with
+    its first character. It lets the matcher skip most positions of a text cheaply."""
+    aliases = alternatives.split("|")
+    if not all(word.isalnum() for alias in aliases for word in alias.split(" ")):
         return ""
-    return f"(?=[{''.join(sorted(firsts))}])"
+    return f"(?=[{''.join(sorted({alias[0] for alias in aliases}))}])"
 
 
 def whole_word(alternatives: str) -> str:

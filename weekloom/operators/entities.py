@@ -3,9 +3,10 @@
 A lexicon is a table (entity_id, ord, name, pattern); ``pattern`` is an alternation of
 aliases and ``ord`` breaks ties. A small lexicon becomes part of the row expression, so
 texts are scanned where they lie; if its aliases are plain words that cannot overlap
-between entities, all of them are found in one scan. A larger lexicon is indexed by the
-first word of each alias and met by an equi-join, after which the pattern itself
-decides. All ways give the same hits.
+between entities, all of them are found in one scan. Of a larger lexicon, the entities
+whose aliases are plain words are indexed by the first word of each alias and met by an
+equi-join, after which the pattern itself decides; a pattern with anything else in it
+can begin with any word, so it is tried on every text. All ways give the same hits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from weekloom.functions.words import WORD, tokens, whole_word
+from weekloom.functions.words import TOKEN, WORD, whole_word
 
 INLINE_ENTITIES = 64
 
@@ -26,8 +27,8 @@ def inline_lexicon(lexicon: DataFrame, limit: int = INLINE_ENTITIES) -> list[Row
     return sorted(rows, key=lambda r: r["ord"]) if len(rows) <= limit else None
 
 
-def _pattern_col() -> Column:
-    return F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.col("pattern"), F.lit(f")(?!{WORD})"))
+def _pattern_col(pattern: Column) -> Column:
+    return F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), pattern, F.lit(f")(?!{WORD})"))
 
 
 def _fold(text: str) -> str:
@@ -74,7 +75,6 @@ def mention_hits(
     docs: DataFrame,
     lexicon: DataFrame,
     *,
-    id_col: str = "article_id",
     text_col: str = "full_text",
     inline_limit: int = INLINE_ENTITIES,
 ) -> DataFrame:
@@ -82,7 +82,7 @@ def mention_hits(
     in lexicon order; an empty array if there are none."""
     rows = inline_lexicon(lexicon, inline_limit)
     if rows is None:
-        return _indexed_hits(docs, lexicon, id_col, text_col)
+        return _indexed_hits(docs, lexicon, text_col)
     if not one_scan(rows):
         text = F.col(text_col)
         counts = [F.regexp_count(text, F.lit(whole_word(r["pattern"]))) for r in rows]
@@ -113,25 +113,50 @@ def _hits(rows: list[Row], counts: list[Column]) -> Column:
     return F.filter(F.array(*found), lambda h: h["cnt"] > 0)
 
 
-def _indexed_hits(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    first_words = (
-        lexicon.select("entity_id", F.explode(F.split("pattern", r"\|")).alias("alias"))
-        .select("entity_id", tokens(F.col("alias"))[0].alias("word"))
-        .distinct()
+# Aliases that begin with an ASCII word and are made of words and single spaces.
+PLAIN = r"^[A-Za-z0-9]+( [\p{L}\p{N}]+)*(\|[A-Za-z0-9]+( [\p{L}\p{N}]+)*)*$"
+
+
+def _folded_tokens(text: Column) -> Column:
+    """Word tokens, each folded as the patterns fold letters."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
+        lambda w: F.lower(F.upper(F.translate(w, "İ", "i"))),
     )
-    words = docs.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word"))
-    pairs = words.join(first_words, "word").select(id_col, "entity_id").distinct()
-    counted = (
-        pairs.join(lexicon.select("entity_id", "ord", "name", "pattern"), "entity_id")
-        .join(docs.select(id_col, text_col), id_col)
-        .withColumn("cnt", F.regexp_count(text_col, _pattern_col()).cast("long"))
-        .where(F.col("cnt") > 0)
+
+
+def _indexed_hits(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
+    """Hits of a lexicon of any size. A text is known by its digest, so repeated rows and
+    rows without an id get their own hits. Patterns that are not plain words go into the
+    plan through the driver."""
+    cols = ["ord", "entity_id", "name", "pattern"]
+    plain = lexicon.where(F.col("pattern").rlike(PLAIN)).select(*cols)
+    odd = lexicon.where(~F.col("pattern").rlike(PLAIN)).select(*cols).collect()
+    first_words = plain.select(*cols, F.explode(F.split("pattern", r"\|")).alias("alias")).select(
+        *cols, F.element_at(_folded_tokens(F.col("alias")), 1).alias("word")
     )
-    hits = counted.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "entity_id", "name", "cnt"))).alias("hits")
+    keyed = docs.withColumn("_digest", F.md5(text_col))
+    words = keyed.select(
+        "_digest", F.explode(F.array_distinct(_folded_tokens(F.col(text_col)))).alias("word")
     )
-    empty = F.array().cast(hits.schema["hits"].dataType)
-    return docs.join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", empty))
+    candidates = (
+        words.join(first_words.distinct(), "word")
+        .groupBy("_digest")
+        .agg(F.collect_set(F.struct(*cols)).alias("_candidates"))
+    )
+
+    def counted(c: Column) -> Column:
+        n = F.regexp_count(F.col(text_col), _pattern_col(c["pattern"])).cast("long")
+        return F.struct(c["ord"].alias("ord"), c["entity_id"].alias("entity_id"), c["name"].alias("name"), n.alias("cnt"))
+
+    found = F.filter(F.transform("_candidates", counted), lambda h: h["cnt"] > 0)
+    met = keyed.join(candidates, "_digest", "left").withColumn("hits", found)
+    kind = met.schema["hits"].dataType
+    rows = sorted(odd, key=lambda r: r["ord"])
+    counts = [F.regexp_count(F.col(text_col), F.lit(whole_word(r["pattern"]))) for r in rows]
+    others = _hits(rows, counts) if rows else F.array()
+    every = F.concat(F.coalesce("hits", F.array().cast(kind)), others.cast(kind))
+    return met.withColumn("hits", F.array_sort(every)).drop("_digest", "_candidates")
 
 
 def explode_hits(hits: DataFrame, keep: list[str]) -> DataFrame:
@@ -162,7 +187,6 @@ def match_entities(
     text: Column,
     out_col: str = "teams",
     inline_limit: int = INLINE_ENTITIES,
-    id_col: str = "link",
 ) -> DataFrame:
     """Add the names of the entities with any alias in ``text``, in lexicon order."""
     rows = inline_lexicon(lexicon, inline_limit)
@@ -180,7 +204,7 @@ def match_entities(
     if rows is not None:
         named = [F.when(text.rlike(whole_word(r["pattern"])), F.lit(r["name"])) for r in rows]
         return docs.withColumn(out_col, F.array_compact(F.array(*named)))
-    hits = _indexed_hits(docs.withColumn("_text", text), lexicon, id_col, "_text")
+    hits = _indexed_hits(docs.withColumn("_text", text), lexicon, "_text")
     return hits.withColumn(out_col, F.transform("hits", lambda h: h["name"])).drop("_text", "hits")
 
 

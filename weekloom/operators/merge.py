@@ -18,10 +18,14 @@ def fold_updates(
     """One row per key: ``update_cols`` of the last row, all other columns of the first.
 
     Plain aggregates, so the copies of a hot key are reduced before the shuffle. Without
-    ``order_col`` the keys must be unique already.
+    ``order_col`` a hash of the row decides, so that repeated keys give one row as well.
     """
     if order_col is None:
-        return updates
+        others = [c for c in updates.columns if c not in keys]
+        if not others:
+            return updates.distinct()
+        order_col = "_order"
+        updates = updates.withColumn(order_col, F.xxhash64(*others))
     rest = [c for c in updates.columns if c not in (*keys, *update_cols, order_col)]
     aggs: list[Column] = []
     if rest:
@@ -38,6 +42,16 @@ def fold_updates(
     )
 
 
+def new_keys(rows: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is not stored.
+
+    The stored keys that occur in ``rows`` are picked first. In that step the rows are the
+    side that can be broadcast, so a small batch does not shuffle all stored keys.
+    """
+    known = stored.select(*on).join(rows.select(*on), on, "left_semi")
+    return rows.join(known, on, "left_anti")
+
+
 def merge_preview(
     target: DataFrame,
     updates: DataFrame,
@@ -88,7 +102,7 @@ def merge_preview(
         ],
         F.when(hit & changed, "update").otherwise("same").alias("_action"),
     )
-    added = new.join(old.select(*on), on, "left_anti").select(
+    added = new_keys(new, old, on).select(
         *[
             (F.col(c) if c in new.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c)
             for c in target.columns
@@ -109,7 +123,7 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     """Append rows with new keys only; the first copy of a repeated key is not defined,
     so the rows should be equal apart from their keys, as bridge and dimension rows are."""
     new = rows.select(*target.columns).dropDuplicates(keys)
-    return target.unionByName(new.join(target.select(*keys), keys, "left_anti"))
+    return target.unionByName(new_keys(new, target, keys))
 
 
 def assign_ids(
@@ -139,9 +153,9 @@ def lookup_or_create(
         wanted = wanted.withColumn("_key", F.collate("name", key_collation))
         known = table.select(F.collate("name", key_collation).alias("_key"))
         fresh = wanted.groupBy("_key").agg(F.min("name").alias("name"))
-        fresh = fresh.join(known, "_key", "left_anti").select("name")
+        fresh = new_keys(fresh, known, ["_key"]).select("name")
     else:
-        fresh = wanted.distinct().join(table.select("name"), "name", "left_anti")
+        fresh = new_keys(wanted.distinct(), table, ["name"])
     return table.select("id", "name").unionByName(
         assign_ids(fresh, "name", last_id(table)).select("id", "name")
     )

@@ -11,6 +11,7 @@ from weekloom.operators.entities import (
     assign_entities,
     drop_frequent_term,
     explode_assigned,
+    inline_lexicon,
     known_entities,
     mention_hits,
 )
@@ -51,7 +52,12 @@ def training_extract(
         "entity_id",
         "title",
     )
-    names = lexicon.select("entity_id", F.col("name").alias("team"))
-    return rows.join(names, "entity_id").select(
+    few = inline_lexicon(lexicon)
+    if few is not None:  # no join on the few ids, whose rows hold whole texts
+        team = code_name(F.col("entity_id"), {r["entity_id"]: r["name"] for r in few}, None)
+        named = rows.withColumn("team", team).where(F.col("team").isNotNull())
+    else:
+        named = rows.join(lexicon.select("entity_id", F.col("name").alias("team")), "entity_id")
+    return named.select(
         "full_text", "article_id", "outlet", "date", "team", "title"
     )
