@@ -597,6 +597,8 @@ LEFT JOIN placed l ON l.entity_id = p.entity_id AND l.week_start = p.week_start
         *_BEST,
     )
 
+    q["weekly_clusters_chunked"] = q["weekly_clusters"]
+
     # The whole weekly job: touched weeks get new clusters and keywords, others stay.
     def best_ten(name: str, phrases: str) -> list[str]:
         return [

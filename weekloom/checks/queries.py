@@ -135,7 +135,7 @@ def entity_match(spark, sf):
 def entity_match_indexed(spark, sf):
     docs = S.articles(spark, sf).select("article_id", "full_text")
     hit = entities.match_entities(
-        docs, S.lexicon(spark), text=F.col("full_text"), inline_limit=0, id_col="article_id"
+        docs, S.lexicon(spark), text=F.col("full_text"), inline_limit=0
     )
     return hit.where(F.size("teams") > 0).select("article_id", F.array_join("teams", "|").alias("teams"))
 
@@ -631,7 +631,7 @@ def kmeans_sweep(spark, sf):
 def kmeans_sweep_chunked(spark, sf):
     """The same with every group of more than four articles cut into chunks."""
     swept = clusters.kmeans_sweep(
-        _points(spark, sf), WEEK, local_rows=4, large_k_max=None, chunk_rows=8
+        _points(spark, sf), WEEK, local_rows=4, chunk_rows=8
     )
     return swept.select(*WEEK, "k", _r("inertia", 4))
 
@@ -641,6 +641,12 @@ def weekly_clusters(spark, sf):
     return clusters.weekly_clusters(_points(spark, sf), WEEK)
 
 
+@query
+def weekly_clusters_chunked(spark, sf):
+    """The same with every group of more than four articles cut into chunks."""
+    return clusters.weekly_clusters(_points(spark, sf), WEEK, local_rows=4, chunk_rows=8)
+
+
 @query
 def weekly_storylines(spark, sf):
     """The whole weekly job: backlog, clusters, keywords; the new keyword table."""

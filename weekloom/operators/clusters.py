@@ -1,16 +1,18 @@
 """Weekly storylines: k-means inside every (entity, week), with k chosen by the elbow.
 
-Groups of up to ``local_rows`` articles are clustered whole, each in one task, over the
-full range of k from 2 to half the group. A larger group never meets in one task: its
-points are cut into chunks, every iteration sends each chunk only that group's centres,
-and the chunks' sums are added up by an aggregation. Every article is used and labelled
-on both ways; only the starting centres of a large group are picked among ``seed_rows``
-of its points.
+Every group is swept over the full range of k from 2 to half the group. Groups of up to
+``local_rows`` articles are clustered whole, each in one task. A larger group never meets
+in one task: its points are cut into chunks, every iteration sends each chunk only that
+group's centres, and the chunks' sums are added up by an aggregation. Starting centres
+are picked among all articles in the same way: each chunk names its best candidate, the
+best of them is the pick. Both ways have the same picks, rounds and stopping rule, so the
+size of a group changes how it is worked on and not what comes out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,14 +21,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from weekloom.operators.ranking import digest_order
 from weekloom.session import cut_lineage
 
 LOCAL_ROWS = 1000
-LARGE_K_MAX = 64
 CHUNK_ROWS = 50_000
-SEED_ROWS = 1000
+# Centres of one group that a chunk gets at a time, unless a single k has more.
+CENTRES = 4096
 # Squared way the centres may still move; small enough for no label to change.
 TOL = 1e-9
 
@@ -128,7 +130,7 @@ def _sized(points: DataFrame, group_cols: list[str]) -> DataFrame:
     return points.join(sizes, group_cols)
 
 
-def _small(points, group_cols, id_col, out, seed, max_iter, tol) -> DataFrame:
+def _small(points, group_cols, id_col, out, seed, max_iter, tol, ks) -> DataFrame:
     """``points`` has features and, equal within a group, k_low and k_high."""
     fields = [points.schema[c] for c in group_cols]
     if out == "inertia":
@@ -143,6 +145,8 @@ def _small(points, group_cols, id_col, out, seed, max_iter, tol) -> DataFrame:
         seeds = _seeds(group[id_col], x, high, seed)
         rows = []
         for k in range(low, high + 1):
+            if ks is not None and k not in ks:
+                continue
             labels, inertia = _lloyd(x, seeds[:k], max_iter, tol)
             rows.append((k, inertia))
         if out == "inertia":
@@ -156,7 +160,18 @@ def _small(points, group_cols, id_col, out, seed, max_iter, tol) -> DataFrame:
     return points.groupBy(*group_cols).applyInPandas(run, T.StructType(fields))
 
 
-def _large(points, group_cols, id_col, out, seed, max_iter, tol, seed_rows, chunk_rows):
+def _k_blocks(low: int, high: int) -> list[tuple[int, int]]:
+    """The range of k in runs of at most CENTRES centres (or of a single k)."""
+    blocks, start, held = [], low, 0
+    for k in range(low, high + 1):
+        if k > start and held + k > CENTRES:
+            blocks.append((start, k - 1))
+            start, held = k, 0
+        held += k
+    return [*blocks, (start, high)] if low <= high else []
+
+
+def _large(points, group_cols, id_col, out, seed, max_iter, tol, chunk_rows, ks):
     """The same result for groups that are spread over chunks; one job per iteration."""
     vector = T.ArrayType(T.DoubleType())
     keys = [points.schema[c] for c in group_cols]
@@ -172,72 +187,78 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, seed_rows, chun
     )
     bounds = cut_lineage(bounds)
 
-    def start(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(id_col, ignore_index=True)
-        x = np.stack(group["features"].to_numpy()).astype(float)
-        picks = _seeds(group[id_col], x, int(group["k_high"][0]), seed)
-        result = pd.DataFrame({"c": range(len(picks)), "centre": list(picks)})
-        for c in group_cols:
-            result[c] = [group[c][0]] * len(result)
-        return result[[*group_cols, "c", "centre"]]
-
-    drawn = digest_order(
-        points.select(*group_cols, id_col, "features", "k_high"),
-        [id_col],
-        group_cols=group_cols,
-        salt=str(seed),
-        pos_col="_pos",
-    ).where(F.col("_pos") <= F.greatest(F.lit(seed_rows), F.col("k_high")))
-    first = drawn.drop("_pos").groupBy(*group_cols).applyInPandas(
-        start, T.StructType([*keys, T.StructField("c", T.IntegerType()), T.StructField("centre", vector)])
-    )
-    centres = cut_lineage(
-        first.join(bounds, group_cols).select(
-            *group_cols,
-            F.explode(F.sequence(F.greatest("k_low", F.col("c") + 1), F.col("k_high"))).alias("k"),
-            "c",
-            "centre",
-        ).where(F.col("k") > F.col("c"))
-    )
+    def visit(run, mine: DataFrame, live: DataFrame, fields: list[T.StructField]) -> DataFrame:
+        """``run`` on every chunk of the live groups, next to all its group's rows of ``mine``."""
+        by = [*group_cols, "chunk"]
+        copies = mine.join(bounds.select(*group_cols, "chunks"), group_cols).withColumn(
+            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        )
+        rows = chunked.join(live.select(*group_cols).distinct(), group_cols, "left_semi")
 
-    def visit(mode: str, centres: DataFrame, fields: list[T.StructField]) -> DataFrame:
-        def run(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-            if rows.empty or mine.empty:
-                return pd.DataFrame({f.name: [] for f in fields})
-            x = np.stack(rows["features"].to_numpy()).astype(float)
-            parts = []
-            for k, at_k in mine.groupby("k"):
-                at_k = at_k.sort_values("c")
-                centre = np.stack(at_k["centre"].to_numpy())
-                d = _distances(x, centre)
-                labels = d.argmin(1)
-                if mode == "labels":
-                    ids = at_k["c"].to_numpy()[labels]
-                    parts.append(pd.DataFrame({id_col: rows[id_col], "cluster_id": ids}))
-                    continue
-                sums, counts = _sums(x, labels, len(centre))
-                near = ((x - centre[labels]) ** 2).sum(1)
-                cost = np.bincount(labels, weights=near, minlength=len(centre))
-                part = pd.DataFrame(
-                    {"c": at_k["c"].to_numpy(), "n": counts, "total": list(sums), "cost": cost}
-                )
-                part["k"] = k
-                parts.append(part[part["n"] > 0])
-            result = pd.concat(parts, ignore_index=True)
+        def meet(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+            result = None if rows.empty else run(rows, mine)
+            if result is None:
+                return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in fields})
             for c in group_cols:
                 result[c] = [rows[c].iloc[0]] * len(result)
             return result[[f.name for f in fields]]
 
-        copies = centres.join(bounds.select(*group_cols, "chunks"), group_cols).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        )
-        by = [*group_cols, "chunk"]
         return (
-            chunked.groupBy(*by)
+            rows.groupBy(*by)
             .cogroup(copies.drop("chunks").groupBy(*by))
-            .applyInPandas(run, T.StructType(fields))
+            .applyInPandas(meet, T.StructType(fields))
         )
 
+    def nominate(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame | None:
+        """A chunk's best candidate for the next pick (see ``_seeds``)."""
+        rows = rows.sort_values(id_col, ignore_index=True)
+        x = np.stack(rows["features"].to_numpy()).astype(float)
+        near = np.full(len(x), np.inf)
+        for centre in mine["centre"]:
+            near = np.minimum(near, ((x - np.asarray(centre)) ** 2).sum(1))
+        value = _draws(rows[id_col], len(mine), seed)
+        if len(mine):
+            value = np.where(near > 0, value / np.where(near > 0, near, 1.0), np.inf)
+        best = int(value.argmin())
+        if not np.isfinite(value[best]):
+            return None
+        return pd.DataFrame({"value": [value[best]], id_col: [rows[id_col][best]], "centre": [x[best]]})
+
+    pick_fields = [T.StructField("c", T.IntegerType()), T.StructField("centre", vector)]
+    picks = points.sparkSession.createDataFrame([], T.StructType([*keys, *pick_fields]))
+    live, pick = bounds, 0
+    named = [*keys, T.StructField("value", T.DoubleType()), points.schema[id_col], pick_fields[1]]
+    while not live.isEmpty():
+        best = F.min_by("centre", F.struct("value", id_col)).alias("centre")
+        found = visit(nominate, picks, live, named).groupBy(*group_cols).agg(best)
+        found = found.select(*group_cols, F.lit(pick).cast("int").alias("c"), "centre")
+        # Few partitions: every round adds those of its own picks.
+        picks, pick = cut_lineage(picks.unionByName(found).coalesce(8)), pick + 1
+        live = picks.where(F.col("c") == pick - 1).join(bounds, group_cols).where(F.col("k_high") > pick)
+
+    def sums(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame | None:
+        x = np.stack(rows["features"].to_numpy()).astype(float)
+        parts = []
+        for k, at_k in mine.groupby("k"):
+            at_k = at_k.sort_values("c")
+            centre = np.stack(at_k["centre"].to_numpy())
+            labels = _distances(x, centre).argmin(1)
+            totals, counts = _sums(x, labels, len(centre))
+            near = ((x - centre[labels]) ** 2).sum(1)
+            cost = np.bincount(labels, weights=near, minlength=len(centre))
+            part = pd.DataFrame({"c": at_k["c"].to_numpy(), "n": counts, "total": list(totals), "cost": cost})
+            part["k"] = k
+            parts.append(part[part["n"] > 0])
+        return pd.concat(parts, ignore_index=True) if parts else None
+
+    def place(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame | None:
+        if mine.empty:
+            return None
+        x = np.stack(rows["features"].to_numpy()).astype(float)
+        mine = mine.sort_values("c")
+        labels = _distances(x, np.stack(mine["centre"].to_numpy())).argmin(1)
+        return pd.DataFrame({id_col: rows[id_col].to_numpy(), "cluster_id": mine["c"].to_numpy()[labels]})
+
     sum_fields = [
         *keys,
         T.StructField("k", T.IntegerType()),
@@ -246,10 +267,13 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, seed_rows, chun
         T.StructField("total", vector),
         T.StructField("cost", T.DoubleType()),
     ]
+    label_fields = [*keys, points.schema[id_col], T.StructField("cluster_id", T.IntegerType())]
     on = [*group_cols, "k", "c"]
-    for _ in range(max_iter):
+
+    def step(centres: DataFrame) -> DataFrame:
+        """Centres after one round, and the squared way that all of one (group, k) moved."""
         means = (
-            visit("sums", centres, sum_fields)
+            visit(sums, centres, centres, sum_fields)
             .groupBy(*on)
             .agg(
                 F.sum("n").alias("n"),
@@ -258,40 +282,53 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, seed_rows, chun
             .select(*on, F.transform("total", lambda v: v / F.col("n")).alias("moved"))
         )
         squares = F.zip_with("moved", "centre", lambda a, b: (a - b) * (a - b))
-        stepped = cut_lineage(
-            centres.join(means, on, "left").select(
-                *on,
-                F.coalesce("moved", "centre").alias("centre"),
-                F.when(
-                    F.col("moved").isNotNull(),
-                    F.aggregate(squares, F.lit(0.0), lambda s, v: s + v),
-                )
-                .otherwise(F.lit(0.0))
-                .alias("shift"),
-            )
+        shift = F.coalesce(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+        stepped = centres.join(means, on, "left").withColumn("_shift", shift)
+        way = F.sum("_shift").over(Window.partitionBy(*group_cols, "k"))
+        return cut_lineage(stepped.select(*on, F.coalesce("moved", "centre").alias("centre"), way.alias("_way")))
+
+    results = []
+    ends = bounds.agg(F.min("k_low"), F.max("k_high")).first()
+    for low, high in _k_blocks(*ends):
+        first, last = F.greatest("k_low", F.col("c") + 1, F.lit(low)), F.least("k_high", F.lit(high))
+        centres = picks.join(bounds, group_cols).where(first <= last).select(
+            *group_cols, F.explode(F.sequence(first, last)).alias("k"), "c", "centre"
         )
-        centres = stepped.drop("shift")
-        # One number per iteration comes back to the driver.
-        if (stepped.agg(F.max("shift")).first()[0] or 0.0) <= tol:
-            break
-    if out == "inertia":
-        costs = visit("sums", centres, sum_fields)
-        return costs.groupBy(*group_cols, "k").agg(F.sum("cost").alias("inertia"))
-    label_fields = [*keys, points.schema[id_col], T.StructField("cluster_id", T.IntegerType())]
-    return visit("labels", centres, label_fields)
+        if ks is not None:
+            centres = centres.where(F.col("k").isin(list(ks)))
+        moving, settled = cut_lineage(centres), []
+        if moving.isEmpty():
+            continue
+        for _ in range(max_iter):
+            stepped = step(moving)
+            moves = F.col("_way") > tol
+            # Two numbers per round come back to the driver.
+            open_, closed = stepped.agg(F.count_if(moves), F.count_if(~moves)).first()
+            moving = stepped.where(moves).drop("_way")
+            if closed:
+                settled.append(stepped.where(~moves).drop("_way"))
+            if not open_:
+                break
+        else:
+            settled.append(moving)
+        centres = reduce(DataFrame.unionByName, settled)
+        if out == "inertia":
+            costs = visit(sums, centres, centres, sum_fields)
+            results.append(costs.groupBy(*group_cols, "k").agg(F.sum("cost").alias("inertia")))
+        else:
+            results.append(visit(place, centres, centres, label_fields))
+    return reduce(DataFrame.unionByName, results)
 
 
 def _grouped(
-    points, group_cols, id_col, out, seed, max_iter, tol, local_rows, seed_rows, chunk_rows
+    points, group_cols, id_col, out, seed, max_iter, tol, local_rows, chunk_rows, ks=None
 ):
     fits = points.where(F.col("_n") <= local_rows)
     rest = points.where(F.col("_n") > local_rows)
-    small = _small(fits, group_cols, id_col, out, seed, max_iter, tol)
+    small = _small(fits, group_cols, id_col, out, seed, max_iter, tol, ks)
     if rest.select("_n").isEmpty():
         return small
-    large = _large(
-        rest, group_cols, id_col, out, seed, min(max_iter, 50), tol, seed_rows, chunk_rows
-    )
+    large = _large(rest, group_cols, id_col, out, seed, max_iter, tol, chunk_rows, ks)
     return small.unionByName(large.select(*small.columns))
 
 
@@ -304,24 +341,24 @@ def kmeans_sweep(
     max_iter: int = 300,
     tol: float = TOL,
     local_rows: int = LOCAL_ROWS,
-    large_k_max: int | None = LARGE_K_MAX,
-    seed_rows: int = SEED_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    ks: list[int] | None = None,
 ) -> DataFrame:
     """Inertia for every k from 2 to half the group (groups, ``k``, ``inertia``).
 
     ``points`` has one row per article: group columns, id and ``features``. Groups of one
-    article have no k and no rows. The whole range costs the cube of the group's size, so
-    above ``local_rows`` articles it ends at ``large_k_max``; None sweeps it all.
+    article have no k and no rows. The whole range costs the cube of the group's size;
+    ``ks`` names fewer k, for groups of any size (2 is always among them).
     """
     sized = _sized(points, group_cols).where(F.col("_n") >= 2)
     high = F.greatest(F.lit(2), F.floor(F.col("_n") / 2)).cast("int")
-    if large_k_max is not None:
-        capped = F.least(high, F.lit(large_k_max))
-        high = F.when(F.col("_n") > local_rows, capped).otherwise(high)
-    ready = sized.withColumn("k_low", F.lit(2)).withColumn("k_high", high)
+    if ks is not None:
+        ks = sorted({2, *ks})
+        high = F.least(high, F.lit(ks[-1]))
+    # Read by the small and the large way; the rows behind it may be costly.
+    ready = cut_lineage(sized.withColumn("k_low", F.lit(2)).withColumn("k_high", high))
     return _grouped(
-        ready, group_cols, id_col, "inertia", seed, max_iter, tol, local_rows, seed_rows, chunk_rows
+        ready, group_cols, id_col, "inertia", seed, max_iter, tol, local_rows, chunk_rows, ks
     )
 
 
@@ -335,7 +372,6 @@ def kmeans_labels(
     max_iter: int = 300,
     tol: float = TOL,
     local_rows: int = LOCAL_ROWS,
-    seed_rows: int = SEED_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``cluster_id`` (from 0) of every article; groups of one article are cluster 0."""
@@ -349,16 +385,17 @@ def kmeans_labels(
         .withColumn("k_high", F.col("k_low"))
     )
     found = _grouped(
-        ready, group_cols, id_col, "labels", seed, max_iter, tol, local_rows, seed_rows, chunk_rows
+        ready, group_cols, id_col, "labels", seed, max_iter, tol, local_rows, chunk_rows
     )
     return found.unionByName(single)
 
 
 def weekly_clusters(points: DataFrame, group_cols: list[str], **options) -> DataFrame:
     """Sweep, elbow and final labels in one go."""
-    sweep_only = {k: v for k, v in options.items() if k != "large_k_max"}
-    best = elbow_k(kmeans_sweep(points, group_cols, **options), group_cols)
-    return kmeans_labels(points, best, group_cols, **sweep_only)
+    points = cut_lineage(points)
+    for_labels = {k: v for k, v in options.items() if k != "ks"}
+    best = cut_lineage(elbow_k(kmeans_sweep(points, group_cols, **options), group_cols))
+    return kmeans_labels(points, best, group_cols, **for_labels)
 
 
 def cluster_sizes(assigned: DataFrame, cluster_cols: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,11 +73,14 @@ def cluster_keywords(
     lexicon: DataFrame,
     group_cols: list[str] = CLUSTER,
     *,
-    stop_words: list[str] = (),
+    stop_words: list[str] | None = None,
     top_n: int = 10,
     gazetteer: DataFrame | None = None,
 ) -> DataFrame:
-    """Best general and people keywords of every cluster, cleaned up."""
+    """Best general and people keywords of every cluster, cleaned up; without
+    ``stop_words`` the English ones are left out."""
+    if stop_words is None:
+        stop_words = StopWordsRemover.loadDefaultStopWords("english")
     general = phrase_counts(members, group_cols, stop_words=stop_words)
     people = people_counts(members, group_cols, gazetteer=gazetteer)
     both = (
@@ -101,15 +105,17 @@ def cluster_weeks(
     n_topics: int = 7,
     as_of: Column | None = None,
     mode: str = "rebuild_week",
-    stop_words: list[str] = (),
+    stop_words: list[str] | None = None,
     gazetteer: DataFrame | None = None,
     **kmeans,
 ) -> dict[str, DataFrame]:
-    """New versions of weekly_topic, weekly_clusters and weekly_keywords.
+    """New versions of weekly_topic, weekly_clusters and weekly_keywords, and the rows that
+    have no vector (``unclustered``).
 
     ``vectors`` has (article_id, embedding) or (article_id, features) for every article.
     "rebuild_week" clusters all rows of a touched week again and replaces its clusters
-    and keywords; "incremental" only numbers the new rows, from 0, and merges.
+    and keywords; a row without a vector loses its old number, which names no cluster any
+    more. "incremental" only numbers the new rows, from 0, and merges.
     """
     rows = cluster_backlog(
         t["articles"], t["article_entities"], t["weekly_topic"], as_of=as_of, columns=[], mode=mode
@@ -117,7 +123,9 @@ def cluster_weeks(
     vector = (
         F.col("embedding") if "embedding" in vectors.columns else vector_to_array("features")
     )
-    points = rows.join(vectors, "article_id").select(
+    backlog = rows.join(vectors, "article_id", "left")
+    unclustered = backlog.where(vector.isNull()).select(*ROW_KEY)
+    points = backlog.where(vector.isNotNull()).select(
         *WEEK, "article_id", topic_features(vector, F.col("topic_id"), n_topics).alias("features")
     )
     # Read three times below; without the cut the clustering would run three times.
@@ -127,11 +135,18 @@ def cluster_weeks(
     keywords = cluster_keywords(
         members, lexicon, CLUSTER, stop_words=stop_words, gazetteer=gazetteer
     )
-    topic_rows = merge(t["weekly_topic"], assigned, ROW_KEY, ["cluster_id"])
+    none = unclustered.withColumn("cluster_id", F.lit(None).cast("int"))
+    numbered = assigned.unionByName(none) if mode == "rebuild_week" else assigned
+    topic_rows = merge(t["weekly_topic"], numbered, ROW_KEY, ["cluster_id"])
     if mode == "incremental":
         clusters = merge(t["weekly_clusters"], sizes, CLUSTER, ["size"])
         words = merge(t["weekly_keywords"], keywords, [*CLUSTER, "keyword"], ["score"])
     else:
-        clusters = replace_weeks(t["weekly_clusters"], sizes, assigned)
-        words = replace_weeks(t["weekly_keywords"], keywords, assigned)
-    return {"weekly_topic": topic_rows, "weekly_clusters": clusters, "weekly_keywords": words}
+        clusters = replace_weeks(t["weekly_clusters"], sizes, numbered)
+        words = replace_weeks(t["weekly_keywords"], keywords, numbered)
+    return {
+        "weekly_topic": topic_rows,
+        "weekly_clusters": clusters,
+        "weekly_keywords": words,
+        "unclustered": unclustered,
+    }
