@@ -9,6 +9,7 @@ from weekloom import schemas, vocab
 from weekloom.functions.html import read_html
 from weekloom.operators.pages import extract_pages
 from weekloom.plans import ingest
+from weekloom.session import cut_lineage
 from weekloom.plans.weekly import working_tables
 from weekloom.operators.quality import audit_storyline_tables
 from weekloom.sources import feeds
@@ -158,3 +159,39 @@ def test_ingest_to_tables(spark, feed, lexicon):
     assert found == {"weekly_topic.pair"}
     work = working_tables({**out, **weekly})
     assert "article_id" in work["articles"].columns and "entity_id" in work["article_entities"].columns
+
+
+def test_unknown_names_are_rejected(spark):
+    at = dt.datetime(2025, 8, 4, 10)
+    rows = spark.createDataFrame(
+        [
+            ("t", "s", "l1", at, "A", ["Arsenal", "Everton", None, " Chelsea "], "x", "BBC"),
+            ("t", "s", "l1", at, "A", ["Arsenal"], "x", " BBC "),
+            ("t", "s", "l2", at, "B", ["Arsenal"], "x", "ITV"),
+            ("t", "s", "l3", at, "C", ["Arsenal"], "x", None),
+            ("t", "s", None, at, "D", ["Arsenal"], "x", "BBC"),
+            ("t", "s", "l4", at, None, None, "x", "BBC"),
+        ],
+        schemas.SCRAPED,
+    )
+    rejects = sorted(map(str, (tuple(r) for r in ingest.rejected_rows(rows).collect())))
+    assert rejects == sorted(map(str, [
+        ("l1", "team", "Everton"), ("l1", "team", None), ("l2", "outlet", "ITV"), ("l3", "outlet", None), (None, "link", "BBC"),
+    ]))
+    empty = {
+        name: empty_table(spark, schema)
+        for name, schema in {
+            "outlets": schemas.OUTLETS, "teams": schemas.TEAMS, "authors": schemas.AUTHORS,
+            "articles": schemas.ARTICLES, "article_teams": schemas.ARTICLE_TEAMS,
+        }.items()
+    }
+    out = {n: cut_lineage(df) for n, df in ingest.upsert_scraped(empty, ingest.union_sources(rows)).items()}
+    assert [tuple(r) for r in out["outlets"].collect()] == [(1, "BBC")]
+    assert {tuple(r) for r in out["teams"].collect()} == {(1, "Arsenal"), (2, "Chelsea")}
+    ids = {r["link"]: r["id"] for r in out["articles"].collect()}
+    assert set(ids) == {"l1", "l4"}
+    assert {tuple(r) for r in out["article_teams"].collect()} == {(ids["l1"], 1), (ids["l1"], 2)}
+    assert {r["name"] for r in out["authors"].collect()} == {"A"}
+    again = ingest.upsert_scraped(out, ingest.union_sources(rows))
+    for name in out:
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, out[name].collect()))

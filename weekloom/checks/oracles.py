@@ -356,7 +356,7 @@ SELECT link, publication_date AS published_at, string_agg(name, '|' ORDER BY ord
 FROM (SELECT a.link, a.publication_date, o.name AS outlet, l.name, l.ord
       FROM articles a JOIN outlets o ON o.id = a.outlet_id
       JOIN lexicon l ON list_has_any(string_split(l.pattern, '|'),
-        regexp_split_to_array(lower(title || ' ' || substr(full_text, 81, 200)), '[^\p{L}\p{N}_]+'))
+        regexp_split_to_array(lower(title || ' ' || substr(full_text, 81)), '[^\p{L}\p{N}_]+'))
       WHERE publication_date BETWEEN TIMESTAMP '2025-06-02 00:00:00' AND TIMESTAMP '2025-07-20 23:00:00'
         AND (o.name <> 'SkySports' OR a.article_id % 2 = 0)
         AND full_text <> '' AND NOT contains(full_text, 'Nicht'))
@@ -364,7 +364,8 @@ GROUP BY link, publication_date, outlet"""
     )
     q["feed_files"] = _with(
         r"""
-SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, 'a & b <c>' AS summary, link,
+SELECT trim(regexp_replace(title, '\s+', ' ', 'g')) AS title,
+       trim('a & b <c> ' || regexp_replace(substr(full_text, 81), '\s+', ' ', 'g')) AS summary, link,
        strftime(publication_date, '%a, %d %b %Y %H:%M:%S') || ' BST' AS published,
        CASE WHEN article_id % 2 = 0 THEN 'News Story' ELSE 'Live' END AS tags
 FROM articles"""
@@ -466,6 +467,29 @@ UNION ALL SELECT id, 2 FROM known
 UNION ALL SELECT i.id, 3 FROM article_ids i JOIN last_rows l ON l.link = i.link WHERE l.summary = 's2'""",
         *_SCRAPED,
     )
+    q["ingest_rejects"] = _with(
+        """
+SELECT CASE WHEN id % 11 = 0 THEN 'link' ELSE 'outlet' END AS kind, CASE WHEN id % 11 <> 0 THEN link END AS key,
+       CASE WHEN id % 5 = 0 THEN 'ITV' ELSE outlet END AS name
+FROM sent WHERE id % 11 = 0 OR id % 5 = 0
+UNION ALL SELECT 'team', link, 'Everton' FROM sent WHERE author = 'fr' AND id % 11 <> 0 AND id % 5 <> 0
+UNION ALL SELECT 'date', link, 'soon' FROM articles WHERE article_id % 13 = 0
+UNION ALL SELECT 'articles', link, CAST(outlet_id AS VARCHAR) FROM first_rows
+  WHERE lang = 'en' OR (article_id % 11 <> 0 AND article_id % 5 <> 0)
+UNION ALL SELECT DISTINCT 'article_teams', link, CAST(team AS VARCHAR) FROM (
+  SELECT link, 1 AS team FROM known
+  UNION ALL SELECT link, unnest(teams) FROM sent WHERE id % 11 <> 0 AND id % 5 <> 0)
+UNION ALL SELECT 'outlets', CAST(id AS VARCHAR), name FROM outlets
+UNION ALL SELECT 'teams', CAST(id AS VARCHAR), name
+  FROM (VALUES (1, 'Arsenal'), (2, 'Chelsea'), (3, 'Liverpool')) t(id, name)""",
+        *_SCRAPED,
+        """sent AS (
+  SELECT article_id AS id, link, o.name AS outlet, author,
+         CASE WHEN lang = 'en' THEN [1, 2] ELSE [1] END AS teams
+  FROM first_rows f JOIN outlets o ON o.id = f.outlet_id
+  UNION ALL
+  SELECT f.article_id, f.link, 'BBC', '', [3] FROM first_rows f JOIN labels l ON l.doc_id = f.article_id)""",
+    )
     q["bridge_insert_ignore"] = _with("SELECT article_id, entity_id FROM article_entities")
     q["cluster_column_merge"] = _with(
         """

@@ -186,7 +186,7 @@ def _feed(spark, sf):
     a = S.articles(spark, sf)
     return a.select(
         "title",
-        F.substring("full_text", 81, 200).alias("summary"),
+        F.expr("substring(full_text, 81)").alias("summary"),
         "link",
         F.concat(F.date_format("publication_date", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" BST")).alias("published"),
         F.array(F.when(F.col("article_id") % 2 == 0, F.lit("News Story")).otherwise(F.lit("Live"))).alias("tags"),
@@ -221,7 +221,7 @@ def feed_files(spark, sf):
     path = fresh_path(spark, "feed")
     items = _feed(spark, sf).select(
         F.regexp_replace("title", r"\s+", " ").alias("title"),
-        F.lit("a & b <c>").alias("description"),
+        F.concat(F.lit("a & b <c> "), F.regexp_replace("summary", r"\s+", " ")).alias("description"),
         "link",
         F.col("published").alias("pubDate"),
         F.col("tags").alias("category"),
@@ -229,7 +229,7 @@ def feed_files(spark, sf):
     items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
     back = feeds.read_feed(spark, path).select(*FEED_ITEM.fieldNames())
     return back.select(
-        F.trim("title").alias("title"), "summary", "link", "published", F.array_join("tags", "|").alias("tags")
+        F.trim("title").alias("title"), F.trim("summary").alias("summary"), "link", "published", F.array_join("tags", "|").alias("tags")
     )
 
 
@@ -419,7 +419,7 @@ def _scraped(spark, sf):
     return rows.withColumn("teams", F.array_compact("teams")).drop("article_id")
 
 
-def _upserted(spark, sf):
+def _upserted(spark, sf, rows=None):
     """The scraped rows merged into tables that know the English documents already."""
     a = S.articles(spark, sf)
     english = S.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("article_id"))
@@ -439,7 +439,7 @@ def _upserted(spark, sf):
         ),
         "article_teams": a.join(english, "article_id", "left_semi").select("article_id", F.lit(1).alias("team_id")),
     }
-    return ingest.upsert_scraped(stored, _scraped(spark, sf))
+    return ingest.upsert_scraped(stored, _scraped(spark, sf) if rows is None else rows)
 
 
 @query
@@ -464,6 +464,32 @@ def upsert_article_teams(spark, sf):
     return _upserted(spark, sf)["article_teams"]
 
 
+@query
+def ingest_rejects(spark, sf):
+    """What is left out if some links, outlets, teams and dates are not usable, and the tables then."""
+    number = F.regexp_extract("link", r"\d+", 0).cast("long")
+    rows = _scraped(spark, sf).select(
+        F.when(number % 11 != 0, F.col("link")).alias("link"),
+        F.when(number % 5 == 0, "ITV").otherwise(F.col("outlet")).alias("outlet"),
+        F.when(F.col("author") == "fr", F.array_append("teams", F.lit("Everton"))).otherwise(F.col("teams")).alias("teams"),
+        *["title", "summary", "published_at", "author", "article", "order_no"],
+    )
+    feed = _feed(spark, sf).withColumn("published", F.when(number % 13 == 0, "soon").otherwise(F.col("published")))
+    out = _upserted(spark, sf, rows)
+    pairs = out["article_teams"].join(out["articles"].select(F.col("id").alias("article_id"), "link"), "article_id")
+    named = lambda df, kind, key, name: df.select(
+        F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(name).cast("string").alias("name")
+    )
+    return (
+        ingest.rejected_rows(rows).select(F.col("reason").alias("kind"), F.col("link").alias("key"), "name")
+        .unionByName(named(ingest.rejected_items(feed), "date", "link", "published"))
+        .unionByName(named(out["articles"], "articles", "link", "outlet_id"))
+        .unionByName(named(pairs, "article_teams", "link", "team_id"))
+        .unionByName(named(out["outlets"], "outlets", "id", "name"))
+        .unionByName(named(out["teams"], "teams", "id", "name"))
+    )
+
+
 @query
 def bridge_insert_ignore(spark, sf):
     counts = S.entity_counts(spark, sf)

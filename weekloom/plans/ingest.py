@@ -119,6 +119,32 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, placed)
 
 
+def _insertable(outlet_ids: dict[str, int]) -> Column:
+    """A scraped row with a link and a known outlet."""
+    return F.col("link").isNotNull() & name_code(F.col("outlet"), outlet_ids).isNotNull()
+
+
+def rejected_rows(
+    scraped: DataFrame,
+    *,
+    team_ids: dict[str, int] = vocab.TEAM_IDS,
+    outlet_ids: dict[str, int] = vocab.OUTLET_IDS,
+) -> DataFrame:
+    """(link, reason, name) of all that ``upsert_scraped`` leaves out.
+
+    A row without a link ("link") or with an unknown outlet ("outlet") is not written at
+    all; an unknown team ("team") only keeps that pair out of article_teams. Trimmed names
+    count; a missing name is unknown.
+    """
+    bad = scraped.where(~_insertable(outlet_ids)).select(
+        "link",
+        F.when(F.col("link").isNull(), "link").otherwise("outlet").alias("reason"),
+        F.col("outlet").alias("name"),
+    )
+    teams = scraped.where(_insertable(outlet_ids)).select("link", F.lit("team").alias("reason"), F.explode("teams").alias("name"))
+    return bad.unionByName(teams.where(name_code(F.col("name"), team_ids).isNull()))
+
+
 def upsert_scraped(
     tables: dict[str, DataFrame],
     scraped: DataFrame,
@@ -131,9 +157,10 @@ def upsert_scraped(
 
     A known link keeps its date, outlet and author and gets the new title, summary and
     text. Within the batch the first row of a link gives the former, the last the latter;
-    ``order_no`` defines the order.
+    ``order_no`` defines the order. Rows without a link or a known outlet and teams that
+    are not known are left out, so no key is NULL; ``rejected_rows`` lists them.
     """
-    rows = scraped.select(
+    rows = scraped.where(_insertable(outlet_ids)).select(
         "link",
         "title",
         "summary",
@@ -147,11 +174,13 @@ def upsert_scraped(
     )
     outlets = insert_ignore(
         tables["outlets"],
-        rows.select(F.col("outlet_id").alias("id"), F.col("outlet").alias("name")).distinct(),
+        rows.select(F.col("outlet_id").alias("id"), F.trim("outlet").alias("name")).distinct(),
         ["id"],
     )
-    named = rows.select("link", F.explode("teams").alias("name")).withColumn(
-        "team_id", name_code(F.col("name"), team_ids)
+    named = (
+        rows.select("link", F.explode("teams").alias("name"))
+        .select("link", F.trim("name").alias("name"), name_code(F.col("name"), team_ids).alias("team_id"))
+        .where("team_id is not null")
     )
     teams = insert_ignore(
         tables["teams"], named.select(F.col("team_id").alias("id"), "name").distinct(), ["id"]
