@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weekloom.llm.chat import OP8_SQL, op8_chat
 from weekloom.llm.decontaminate import op3_decontaminate
+from weekloom.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from weekloom.llm.html_main import op6_main_text
 from weekloom.llm.licenses import op10_licenses
 from weekloom.llm.near_dup import op2_near_dup
@@ -24,5 +25,11 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_licenses": op10_licenses,
+    "op13_exact_dedup": op13_exact_dedup,
+}
+ORACLES = {
+    "op1_top_k": OP1_SQL,
+    "op8_chat": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
-ORACLES = {"op1_top_k": OP1_SQL, "op8_chat": OP8_SQL, "op9_url_filter": OP9_SQL}
