@@ -13,6 +13,7 @@ from weekloom.llm.token_files import op5_token_files
 from weekloom.llm.toxicity import op4_toxicity
 from weekloom.llm.topk import OP1_SQL, op1_top_k
 from weekloom.llm.url_filter import OP9_SQL, op9_url_filter
+from weekloom.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_top_k": op1_top_k,
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_licenses": op10_licenses,
+    "op11_vector_codes": op11_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES = {
     "op1_top_k": OP1_SQL,
     "op8_chat": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
