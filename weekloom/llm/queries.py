@@ -9,6 +9,7 @@ from weekloom.llm.html_main import op6_main_text
 from weekloom.llm.licenses import op10_licenses
 from weekloom.llm.near_dup import op2_near_dup
 from weekloom.llm.packing import op7_packing
+from weekloom.llm.source_audit import OP12_SQL, op12_source_audit
 from weekloom.llm.token_files import op5_token_files
 from weekloom.llm.toxicity import op4_toxicity
 from weekloom.llm.topk import OP1_SQL, op1_top_k
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_licenses": op10_licenses,
     "op11_vector_codes": op11_vector_codes,
+    "op12_source_audit": op12_source_audit,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES = {
@@ -34,5 +36,6 @@ ORACLES = {
     "op8_chat": OP8_SQL,
     "op9_url_filter": OP9_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_source_audit": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
