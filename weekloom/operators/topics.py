@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions.words import NOT_WORD
 from weekloom.operators.ranking import digest_order
-
-# The 11 inverse penalties tried; 0 means no penalty.
-PENALTIES = [0.0, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
+from weekloom.operators.solvers import LogisticGrid, plain_array
+from weekloom.session import stored
+from weekloom.vocab import PENALTIES
 
 
 # ---- features ------------------------------------------------------------------------
@@ -270,6 +268,41 @@ def cross_val_predict(
     return parts
 
 
+def solve_grid(
+    df: DataFrame,
+    *,
+    penalties: list[float] = PENALTIES,
+    folds: int = 10,
+    repeats: int = 3,
+    seed: int = 1,
+    label_col: str = "label",
+    id_col: str = "article_id",
+    features_col: str = "features",
+    max_iter: int = 100,
+    tolerance: float = 1e-4,
+) -> tuple[LogisticGrid, list]:
+    """A fitted model for every penalty, repeat and fold, and the sorted labels.
+
+    All models read the same scans, so the number of jobs is that of the slowest fit, not the
+    sum over all fits. Rows without label or features take no part.
+    """
+    rows = df.where(F.col(label_col).isNotNull() & F.col(features_col).isNotNull())
+    rows = rows.select(id_col, label_col, plain_array(df, features_col).alias("features"))
+    labels = sorted(r[0] for r in rows.select(label_col).distinct().collect())
+    if not labels:
+        raise ValueError("no labelled rows")
+    for repeat in range(repeats):
+        rows = stratified_folds(
+            rows, label_col=label_col, id_col=id_col, folds=folds, repeat=repeat, seed=seed
+        ).withColumnRenamed("fold", f"_fold{repeat}")
+    number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label_col)) - 1
+    placed = F.array(*[F.col(f"_fold{r}") for r in range(repeats)]).alias("folds")
+    table = stored(rows.select(number.cast("int").alias("label"), "features", placed), "grid-rows")
+    models = [(c, r, f) for c in penalties for r in range(repeats) for f in range(folds)]
+    size = table.select(F.max(F.size("features"))).first()[0]
+    return LogisticGrid(table, len(labels), size, models).fit(tolerance, max_iter), labels
+
+
 def evaluate_grid(
     df: DataFrame,
     *,
@@ -279,47 +312,39 @@ def evaluate_grid(
     seed: int = 1,
     label_col: str = "label",
     id_col: str = "article_id",
-    parallelism: int = 4,
+    parallelism: int | None = None,
     max_iter: int = 100,
 ) -> DataFrame:
     """(penalty, repeat, fold, rows, accuracy, balanced_accuracy) for every fit.
 
-    Fits run side by side as Spark jobs. Of each, only the confusion counts come to the
-    driver: as many rows as there are pairs of classes.
+    Only confusion counts come to the driver: as many rows as there are fits and pairs of
+    classes. ``parallelism`` has no effect: all fits share their scans.
     """
+    grid, labels = solve_grid(
+        df, penalties=penalties, folds=folds, repeats=repeats, seed=seed, label_col=label_col,
+        id_col=id_col, max_iter=max_iter,
+    )
+    counts = grid.confusion()
+    found = [
+        (float(grid.models[m][0]), *grid.models[m][1:], int(labels[a]), int(labels[b]), int(counts[m, a, b]))
+        for m, a, b in zip(*(x.tolist() for x in np.nonzero(counts)))
+    ]
     spark = df.sparkSession
-    rows = df.select(id_col, label_col, "features")
-    found: list[tuple] = []
-    for repeat in range(repeats):
-        placed = stratified_folds(
-            rows, label_col=label_col, id_col=id_col, folds=folds, repeat=repeat, seed=seed
-        ).persist()
-        sizes = {
-            r["fold"]: r["n"] for r in placed.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
-        total = sum(sizes.values())
-
-        def score(job: tuple[float, int]) -> list[tuple]:
-            c, f = job
-            pipeline = logistic(total - sizes[f], c=c, label_col=label_col, max_iter=max_iter)
-            model = fit(pipeline, placed.where(F.col("fold") != f), label_col)
-            counts = confusion_counts(
-                model.transform(placed.where(F.col("fold") == f)), label_col=label_col
-            )
-            return [(c, repeat, f, r["label"], r["prediction"], r["n"]) for r in counts.collect()]
-
-        jobs = [(c, f) for c in penalties for f in sorted(sizes)]
-        pool = ThreadPool(parallelism)
-        try:
-            for part in pool.map(inheritable_thread_target(spark)(score), jobs):
-                found += part
-        finally:
-            pool.terminate()
-        placed.unpersist()
-    counts = spark.createDataFrame(
+    frame = spark.createDataFrame(
         found, "penalty double, repeat int, fold int, label int, prediction int, n long"
     )
-    return accuracy(counts, ["penalty", "repeat", "fold"])
+    return accuracy(frame, ["penalty", "repeat", "fold"])
+
+
+def grid_optimality(grid: LogisticGrid, spark: SparkSession, tolerance: float = 1e-4) -> DataFrame:
+    """(penalty, fits, solved, rows_scored): how many fits end with every entry of the gradient
+    within ``tolerance``, and how many rows they were scored on."""
+    scored = grid.confusion().sum(axis=(1, 2))
+    rows = [(float(c), int(x <= tolerance), int(n)) for (c, *_), x, n in zip(grid.models, grid.residual, scored)]
+    frame = spark.createDataFrame(rows, "penalty double, solved long, n long")
+    return frame.groupBy("penalty").agg(
+        F.count(F.lit(1)).alias("fits"), F.sum("solved").alias("solved"), F.sum("n").alias("rows_scored")
+    )
 
 
 def summarize_grid(grid: DataFrame) -> DataFrame:

@@ -52,6 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cut lineage in columns, for
+    tables that many scans read."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows over all cores by a unique key, if the files behind ``df`` are fewer
     than the cores. Work that grows on the way, as tokenising does, would otherwise stay

@@ -26,6 +26,9 @@ TOPICS = {
     6: "other",
 }
 
+# Inverse penalties tried for the topic model; 0 means no penalty.
+PENALTIES = [0.0, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0]
+
 # (name, aliases) in matching order: title and summary of feed items
 INGEST_ALIASES = [
     ("Arsenal", "Arsenal|Gunners"),
