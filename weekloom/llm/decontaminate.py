@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Every document is scanned once for the three-word seeds of the benchmark. Seeds of one item
-that lie on near diagonals of the document make a candidate passage; the passage is aligned
-with the item word by word, so edited and paraphrased copies score by what they share. Seeds
-that more than one document in ``COMMON`` holds, and that are no leak for that reason alone,
-count only next to rarer ones, unless an item has no rare seed.
+that lie on near diagonals of the document make a candidate passage, and one seed is enough.
+A candidate that cannot reach the threshold, because too few of the item's words occur in
+it, is left out; the others are aligned with the item word by word, so edited and paraphrased
+copies score by what they share. Seeds are not weighed by how many documents hold them: a
+leak that has spread makes its own seeds common.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import Words, mix, table
+from weekloom.llm.common import Words, kept, mix, table
 from weekloom.llm.near_dup import text_portions
 
 SEED = 3
@@ -25,7 +27,7 @@ THRESHOLD = 0.5
 SLACK = 8
 ITEMS = 20_000
 ITEM_BYTES = 64 << 20
-COMMON = 100
+CANDIDATES = 20_000  # weighed at a time
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -57,16 +59,7 @@ class Benchmark:
         self.item = words.owners()[at] if len(at) else np.zeros(0, np.int64)
         self.place = at - self.bounds[self.item]
         self.distinct = np.unique(self.seed)
-        self.rare = np.ones(len(self.distinct), bool)
-
-    def mark_rare(self, documents: dict[int, int], total: int) -> None:
-        """Tell rare seeds from common ones by the number of documents that hold them."""
-        counts = np.array([documents.get(int(s), 0) for s in self.distinct.view(np.int64)])
-        self.rare = counts * COMMON <= max(total, COMMON)
-        by_item = np.zeros(len(self.ids), bool)
-        which = np.searchsorted(self.distinct, self.seed)
-        by_item[self.item[self.rare[which]]] = True
-        self.rare[which[~by_item[self.item]]] = True  # an item of common seeds alone keeps them all
+        self.vocabulary, self.word = np.unique(self.hashes, return_inverse=True)
 
     def present(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Words of the texts at which a seed begins, and the seed's number."""
@@ -77,31 +70,49 @@ class Benchmark:
         at = np.flatnonzero((self.distinct[k] == value) & whole)
         return at, k[at]
 
-    def candidates(self, words: Words) -> np.ndarray:
-        """Columns text, item, first and last word of passages with enough seeds, one per diagonal band."""
+    def candidates(self, words: Words, threshold: float) -> np.ndarray:
+        """Columns text, item, first and last word of passages that may reach the threshold, one per diagonal band."""
         at, k = self.present(words)
         lo, hi = np.searchsorted(self.seed, self.distinct[k]), np.searchsorted(self.seed, self.distinct[k], "right")
         n = hi - lo
         place = np.repeat(at, n)
         entry = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        rare = np.repeat(self.rare[k], n)
         item, start = self.item[entry], place - self.place[entry]
         text = words.owners()[place] if len(place) else place
         order = np.lexsort((start, item, text))
-        text, item, start, rare = (x[order] for x in (text, item, start, rare))
+        text, item, start = (x[order] for x in (text, item, start))
         if not len(text):
             return np.zeros((0, 4), np.int64)
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > SLACK)
-        group = np.cumsum(new) - 1
-        seeds, rares = np.bincount(group), np.bincount(group, rare)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(text)) - 1
         size = np.diff(self.bounds)[item[head]]
-        keep = (rares > 0) & ((seeds > 1) | (size <= SEED + 1))
         first = np.maximum(start[head] - SLACK, words.bounds[text[head]])
         last = np.minimum(start[tail] + size + SLACK, words.bounds[text[head] + 1])
-        return np.stack([text[head], item[head], first, last], axis=1)[keep]
+        found = np.stack([text[head], item[head], first, last], axis=1)
+        held = [self._words_held(words, part) for part in np.array_split(found, -(-len(found) // CANDIDATES))]
+        return found[np.concatenate(held) >= threshold * size]
+
+    def _words_held(self, words: Words, found: np.ndarray) -> np.ndarray:
+        """For each candidate how many places of its item hold a word that occurs in its passage.
+
+        No alignment has more matches, so none scores more than this as a share of the item.
+        """
+
+        def spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = end - begin
+            owner = np.repeat(np.arange(len(n)), n)
+            return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+
+        owner, place = spans(found[:, 2], found[:, 3])
+        word = np.minimum(np.searchsorted(self.vocabulary, words.hashes[place]), len(self.vocabulary) - 1)
+        known = self.vocabulary[word] == words.hashes[place]
+        passage = np.unique(owner[known] * len(self.vocabulary) + word[known])
+        owner, place = spans(self.bounds[found[:, 1]], self.bounds[found[:, 1] + 1])
+        wanted = owner * len(self.vocabulary) + self.word[place]
+        hit = passage[np.minimum(np.searchsorted(passage, wanted), len(passage) - 1)] == wanted
+        return np.bincount(owner[hit], minlength=len(found))
 
     def align(self, words: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best local alignment of each candidate's passage with its item: score, as a share of
@@ -168,31 +179,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _folded(F.col("text")).alias("text"))
-    total, parts = None, []
+    parts = []
     for ids, texts in _blocks(benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), _folded(F.col("text")).alias("text"))):
-        items = Benchmark(ids, texts)
-        total = text.count() if total is None else total
-        sent = sc.broadcast(items)
+        sent = sc.broadcast((uuid.uuid4().hex, ids, texts))
 
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(sent.value.distinct), np.int64)
-            for batch in (part for b in batches for part in text_portions(b, 1)):
-                words = Words(batch.column(1))
-                at, k = sent.value.present(words)
-                pair = np.unique(words.owners()[at] * len(sums) + k) if len(at) else at
-                sums += np.bincount(pair % max(len(sums), 1), minlength=len(sums))
-            some = np.flatnonzero(sums)
-            yield pa.record_batch([pa.array(sent.value.distinct[some].view(np.int64)), pa.array(sums[some])], names=["seed", "n"])
-
-        held = text.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        items.mark_rare({r["seed"]: r["n"] for r in held.filter(F.col("n") * COMMON > max(total, COMMON)).collect()}, total)
-        marked = sc.broadcast(items)
-
-        def find(batches: Iterator[pa.RecordBatch], marked=marked) -> Iterator[pa.RecordBatch]:
-            items = marked.value
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            name, ids, texts = sent.value
+            items = kept(("benchmark", name), lambda: Benchmark(ids, texts))
             for batch in (part for b in batches for part in text_portions(b, 1)):
                 words = Words(batch.column(1))
-                found = items.candidates(words)
+                found = items.candidates(words, threshold)
                 score, end = items.align(words, found)
                 keep = np.flatnonzero(score >= threshold)
                 keep = keep[np.lexsort((found[keep, 2], -score[keep], found[keep, 1], found[keep, 0]))]
