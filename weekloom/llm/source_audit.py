@@ -231,7 +231,8 @@ def source_audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int =
     own = (F.col("number") / SOURCES_IN_CELL).cast("int")
     meets = F.explode(F.sequence(F.lit(0), ((F.col("sources") - 1) / SOURCES_IN_CELL).cast("int"))).alias("meets")
     in_block = F.pmod(F.xxhash64("term"), blocks).alias("block")
-    per_block = terms.join(langs, "lang").groupBy("lang", in_block).agg(F.count(F.lit(1)).alias("block_terms"))
+    counted = terms.withColumn("salt", _salt("term")).join(_salted(langs), ["lang", "salt"])
+    per_block = counted.groupBy("lang", in_block).agg(F.count(F.lit(1)).alias("block_terms"))
     heads = sources.select("lang", "source", "number", "sources", F.explode(F.sequence(zero, blocks - 1)).alias("block"), _share("0", "total").alias("p"))
     heads = heads.join(per_block, ["lang", "block"], "left").na.fill(0, ["block_terms"]).withColumn("term", F.lit(None).cast("string"))
     bodies = shares.select("lang", "source", "number", "sources", in_block, "p", "term", zero.alias("block_terms"))
