@@ -149,8 +149,9 @@ def _salt(column: str) -> Column:
 
 
 def _share(n: str, total: str) -> Column:
-    """1 + floor(10^9 * (n + 2) / (total + 2 * terms)), in decimals wide enough for any counts."""
-    return F.expr(f"1 + (cast(1000000000 as decimal(10, 0)) * cast({n} + 2 as decimal(20, 0))) div cast({total} + 2 * terms as decimal(20, 0))")
+    """1 + floor(10^9 * (n + 2) / (total + 2 * terms)), in decimals wide enough for any counts;
+    a language without terms has no shares, and what stands there for them is not used."""
+    return F.expr(f"1 + (cast(1000000000 as decimal(10, 0)) * cast({n} + 2 as decimal(20, 0))) div cast(greatest({total} + 2 * terms, 1) as decimal(20, 0))")
 
 
 def _pair_cell(rows: pa.Table) -> pa.Table:

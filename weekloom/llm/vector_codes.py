@@ -169,6 +169,8 @@ def _sums(books: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def first_codebooks(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> np.ndarray:
     """Parts of the vectors with the smallest vec_ids, ties by the vector; (part, entry, place)."""
     rows = vectors.filter("vec_id is not null").orderBy("vec_id", "vec").limit(entries).select("vec").collect()
+    if not rows:
+        return np.zeros((parts, 0, 1), np.int64)
     books = np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), parts, -1)
     return np.ascontiguousarray(books.transpose(1, 0, 2))
 
