@@ -30,6 +30,7 @@ BATCH = 64
 LEAST_STEPS = 500
 RATE = 0.5
 PER_CLASS = 4000
+WORDS = 1 << 14
 THRESHOLD = 0.7
 
 
@@ -56,6 +57,13 @@ def word_grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     return row[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
+def _grams_of_many(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_grams`` of many words, a block at a time: its scratch space is tens of times its result."""
+    parts = [word_grams(data, begin[i : i + WORDS], end[i : i + WORDS]) for i in range(0, len(begin), WORDS)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, bounds in parts)])
+    return np.concatenate([np.zeros(0, np.int32), *(rows for rows, _ in parts)]), np.append(0, np.cumsum(sizes))
+
+
 def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Mean of the values between neighbouring bounds; 0 where there is none."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
@@ -104,7 +112,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0
     seen, seen_softmax, seen_bias = np.full(ROWS, 1e-8), np.full(softmax.shape, 1e-8), np.full(2, 1e-8)
     words = Words(texts)
     _, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-    rows, bounds = word_grams(words.data, words.begin[first], words.end[first])
+    rows, bounds = _grams_of_many(words.data, words.begin[first], words.end[first])
     usable = np.flatnonzero(np.diff(words.bounds))
     per_word = np.diff(bounds)
     batches = max(1, len(usable) // BATCH)
