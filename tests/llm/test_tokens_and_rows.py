@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weekloom.llm import chat, packing, token_files, topk, url_filter
@@ -155,3 +156,16 @@ def test_chat_escapes_and_round_trips(spark):
     assert got[1].valid and not got[2].valid and got[2].n_turns == 3 and not got[None].valid
     assert got[3].valid and got[3].turns_sha256 == sha("user\na\nassistant\nb\n")
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_chat_roles_are_told_by_their_marks_and_null_turns_come_first(spark):
+    import hashlib
+
+    odd = ["tool", "function", "", "</s>", "a\nb", "\\", "[INST] ", "x\\\n"]
+    rows = [(1, i - 5000, r, f"t{i}") for i, r in enumerate(odd)] + [(1, None, "user", "first")]
+    segments = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.read_back(segments.withColumn("role", F.lit("lost"))).collect()[0]
+    plain = "user\nfirst\n" + "".join(f"{r}\nt{i}\n" for i, r in enumerate(odd))
+    assert got.turns_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+    marks = [r.text for r in segments.filter("part = 0").collect()]
+    assert len(set(marks)) == len(odd) + 1

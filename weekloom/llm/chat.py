@@ -22,8 +22,9 @@ SLICE = 512
 class Template:
     """What a conversation looks like.
 
-    ``turns`` maps a role to the marks before and after its text; a role that is not in it
-    gets ``other``. ``moves`` are the allowed steps of the state machine, from the role
+    ``turns`` maps a role to the marks before and after its text, no two alike; a role that
+    is not in it gets ``other``, with the role and a line break at the end of the first mark,
+    so that every role can be told from the formatted text. ``moves`` are the allowed steps of the state machine, from the role
     before ("" at the start) to the next one, and ``final`` the roles that may end it.
     ``controls`` are the strings that no text may hold as such; each is at least two
     characters and none begins with a backslash.
@@ -54,13 +55,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _role_mark(role: Column, t: Template) -> Column:
+    """The mark before a turn. An unknown role is escaped, its line breaks too."""
+    out = F.concat(F.lit(t.other[0]), F.replace(escape(role, t.controls), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    for known, marks in t.turns.items():
+        out = F.when(role == known, F.lit(marks[0])).otherwise(out)
+    return out
+
+
+def _marked_role(mark: Column, t: Template) -> Column:
+    """The role that a mark before a turn stands for."""
+    out = unescape(F.expr("substring(text, {}, length(text) - {})".format(len(t.other[0]) + 1, len(t.other[0]) + 1)))
+    for known, marks in t.turns.items():
+        out = F.when(mark == marks[0], F.lit(known)).otherwise(out)
+    return out
+
+
 def _numbered(turns: DataFrame) -> DataFrame:
     """Adds ``turn_no`` (from 0), ``before`` (role before) and ``last`` to each turn.
 
-    Turns are numbered in slices of ``SLICE`` turn values, whose totals then shift the
+    Turns are numbered in slices of ``SLICE`` turn values, null turns before all others, whose totals then shift the
     numbers, so that one huge conversation is no single group.
     """
-    sliced = turns.withColumn("slice", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-1)).cast("long"))
+    sliced = turns.withColumn("slice", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 63))).cast("long"))
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     inside = Window.partitionBy("conv_id", "slice").orderBy(*order)
     nth = sliced.withColumns({"nth": F.row_number().over(inside) - 1, "near": F.lag("role").over(inside)})
@@ -103,32 +120,32 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     step = F.concat_ws("\x00", "before", "role")
     ok = step.isin([f"{a}\x00{b}" for a, b in t.moves]) & (~F.col("last") | F.col("role").isin(*t.final))
 
-    def mark(side: int) -> Column:
-        out = F.lit(t.other[side])
-        for role, marks in t.turns.items():
-            out = F.when(F.col("role") == role, F.lit(marks[side])).otherwise(out)
-        return out
+    after = F.lit(t.other[1])
+    for role, marks in t.turns.items():
+        after = F.when(F.col("role") == role, F.lit(marks[1])).otherwise(after)
 
     def segment(part: int, body: Column, loss: Column) -> Column:
         return F.struct(F.lit(part).alias("part"), body.alias("text"), loss.alias("loss"))
 
     parts = F.array(
-        segment(0, mark(0), F.lit(False)),
+        segment(0, _role_mark(F.col("role"), t), F.lit(False)),
         segment(1, escape(F.col("text"), t.controls), F.col("role").isin(*t.loss)),
-        segment(2, mark(1), F.lit(False)),
+        segment(2, after, F.lit(False)),
     )
     rows = _numbered(turns).select("conv_id", "slice", "turn_no", "role", ok.alias("turn_ok"), F.explode(parts).alias("s"))
     return rows.select("conv_id", "slice", "turn_no", "s.part", "role", "s.text", "s.loss", "turn_ok")
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation from its segments, unescaped.
+def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
+    """Digests of each conversation from its segments, unescaped; roles come from the marks.
 
     The digest of a conversation needs its whole text in one value, so the last step holds
     one conversation; the steps before it hold slices.
     """
+    t = template or Template()
     body = F.col("part") == 1
     plain = unescape(F.col("text"))
+    said = F.when(body, plain).otherwise(_marked_role(F.col("text"), t))
     ordered = lambda rows: F.array_sort(F.collect_list(rows))
     joined = lambda rows, name: F.array_join(F.transform(rows, lambda x: x[name]), "")
     slices = (
@@ -136,7 +153,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         .agg(
             F.count(F.when(body, 1)).alias("n"),
             F.sum(F.length("text")).alias("chars"),
-            ordered(F.when(body, F.struct("turn_no", F.concat("role", F.lit("\n"), plain, F.lit("\n")).alias("t")))).alias("turns"),
+            ordered(F.when(F.col("part") < 2, F.struct("turn_no", "part", F.concat(said, F.lit("\n")).alias("t")))).alias("turns"),
             ordered(F.when(F.col("loss"), F.struct("turn_no", plain.alias("t")))).alias("losses"),
             F.bool_and("turn_ok").alias("ok"),
         )
@@ -178,7 +195,8 @@ def _sql_escape(text: str, controls: tuple[str, ...]) -> str:
 
 
 _T = Template()
-_MARKS = "case role " + " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in _T.turns.items()) + f" else {len(''.join(_T.other))} end"
+_OTHER = f"{len(''.join(_T.other)) + 1} + length(replace({_sql_escape('role', _T.controls)}, chr(10), '\\' || chr(10)))"
+_MARKS = "case role " + " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in _T.turns.items()) + f" else {_OTHER} end"
 _STEPS = ", ".join(f"('{a}', '{b}')" for a, b in _T.moves)
 OP8_SQL = f"""
 with t as (
