@@ -259,6 +259,40 @@ def test_main_text_of_varied_pages(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_deduces_the_template_of_neutral_names(spark):
+    def page(i):
+        body = f"<div class='c3'><h1>Head {i}</h1><p>All share this line.</p><p>{'word ' * (i + 3)}{i}</p></div>"
+        return f"<body class='has-sidebar'><div class='a1'><p>Home</p><p>Contact</p></div>{body}<div class='b2'>Imprint of the house</div></body>"
+
+    rows = [(i, f"http://n.org/{i}", page(i)) for i in range(20)]
+    rows += [(100 + i, "http://same.org/", "<div>every page the same</div>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_text(df).collect()}
+    for i in range(20):  # a line once on every page of a host cannot be told from its template
+        assert got[i] == f"Head {i}\n\n{'word ' * (i + 3)}{i}"
+    assert all(got[100 + i] == "every page the same" for i in range(8))
+
+
+def test_names_never_drop_an_ancestor_of_the_article():
+    for name in ("has-sidebar", "single post-share", "main-menu-open", "page-header-fixed", "no-ads", "comments-open"):
+        assert html_main.article(f"<body class='{name}'><main><p>plain</p></main></body>") == "plain"
+        assert html_main.article(f"<div class='{name}'><p>plain</p></div><footer>f</footer>") == "plain"
+    assert html_main.article("<div class='social'><article><p>long text</p><div class='share'>s</div></article></div><p>i</p>") == "long text"
+    assert html_main.article("<form><p>all in a form</p></form>") == "all in a form"
+    assert html_main.article("<main><p>a</p></main><div id=comments><article>b c d</article></div>") == "a"
+    assert html_main.article("<ul><li><p>a<li>b</ul>a &lt; b < c<p title='>'>q</p><p don't>x</p>") == "a\n\nb\n\na < b < c\n\nq\n\nx"
+    assert html_main.article("<head><title>t<p></title><body>a<!-- b") == "a"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "</div>", "<div>x", "<p title=\"", "<b c='>'", "<!--", "<script>", "<", "<div></p>", "<li>a", "<a =\"'"])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    begin = time.process_time()
+    html_main.article(part * (1_000_000 // len(part)))
+    assert time.process_time() - begin < 20  # squared time would be hours
+
+
 def test_main_text_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
