@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weekloom import vocab
 from weekloom.checks import samples as S
+from weekloom.operators import people
 
 
 def _rows(rows) -> str:
@@ -550,6 +551,55 @@ UNION ALL SELECT 'events.type', event_type, count(*) FROM events
   SELECT w.entity_id, w.week_start, w.cluster_id, p.keyword, count(*) AS cnt
   FROM weekly_topic w JOIN names p ON p.article_id = w.article_id
   WHERE w.cluster_id IS NOT NULL GROUP BY ALL)""",
+    )
+    unit, word, ends = people.UNIT.replace("'", "''"), people.NAME_WORD.replace("'", "''"), people.IS_RUN.replace("'", "''")
+    q["people_names"] = _with(
+        """
+SELECT w.entity_id, w.week_start, w.cluster_id, n.keyword, count(*) AS cnt
+FROM weekly_topic w JOIN units u ON u.article_id = w.article_id
+JOIN (SELECT unit, unnest(string_split(t, '|')[2:]) AS keyword FROM named) n ON n.unit = u.unit
+WHERE w.cluster_id IS NOT NULL GROUP BY ALL""",
+        f"""units AS (
+  SELECT article_id, unnest(regexp_extract_all('.' || coalesce(full_text, ''), '{unit}')) AS unit FROM articles)""",
+        "counted AS (SELECT unit, count(*) AS n FROM units GROUP BY ALL)",
+        f"""unit_words AS (
+  SELECT unit, n, regexp_matches(unit, '{ends}') AS run, regexp_matches(unit, '{people.BEGINS}') AS begins,
+         lower(unnest(ws)) AS word, unnest(range(len(ws))) AS pos
+  FROM (SELECT *, regexp_extract_all(unit, '{word}') AS ws FROM counted))""",
+        """name_words AS (
+  SELECT word FROM unit_words GROUP BY ALL
+  HAVING coalesce(sum(n) FILTER (run AND NOT (begins AND pos = 0)), 0) > coalesce(sum(n) FILTER (NOT run), 0))""",
+        """known AS (
+  SELECT u.unit, u.n, u.pos, u.word, row_number() OVER w AS r,
+         CASE WHEN lead(u.pos) OVER w = u.pos + 1 THEN lead(u.word) OVER w END AS after
+  FROM unit_words u JOIN name_words USING (word) WHERE u.run WINDOW w AS (PARTITION BY u.unit ORDER BY u.pos))""",
+        "alone AS (SELECT word, sum(n) AS c FROM known GROUP BY ALL)",
+        """linked AS (
+  SELECT k.unit, k.r, k.word, greatest(coalesce(1000 * p.both_n // least(a.c, b.c) - 500, 0), 0) AS link
+  FROM known k LEFT JOIN (SELECT word, after, sum(n) AS both_n FROM known WHERE after IS NOT NULL GROUP BY ALL) p
+    ON p.word = k.word AND p.after = k.after
+  LEFT JOIN alone a ON a.word = k.word LEFT JOIN alone b ON b.word = k.after)""",
+        """steps AS (
+  SELECT *, lag(word) OVER w AS w1, lag(word, 2) OVER w AS w2, coalesce(lag(link) OVER w, 0) AS l1,
+         coalesce(lag(link, 2) OVER w, 0) AS l2, count(*) OVER (PARTITION BY unit) AS m
+  FROM linked WINDOW w AS (PARTITION BY unit ORDER BY r))""",
+        """walk AS (
+  SELECT unit, CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS b1, CAST(0 AS HUGEINT) AS b2, CAST(0 AS HUGEINT) AS b3,
+         '' AS t1, '' AS t2, '' AS t3 FROM steps WHERE r = 1
+  UNION ALL
+  SELECT unit, r, CAST(greatest(c1, c2, c3) AS HUGEINT), b1, b2,
+         CASE WHEN c1 >= c2 AND c1 >= c3 THEN t1 || '|' || word
+              WHEN c2 >= c3 THEN t2 || '|' || w1 || ' ' || word ELSE t3 || '|' || w2 || ' ' || w1 || ' ' || word END, t1, t2
+  FROM (SELECT s.unit, s.r, s.word, s.w1, s.w2, v.b1, v.b2, v.t1, v.t2, v.t3, v.b1 AS c1,
+               CASE WHEN s.l1 > 0 THEN v.b2 + s.l1 ELSE -1 END AS c2,
+               CASE WHEN s.l1 > 0 AND s.l2 > 0 THEN v.b3 + s.l1 + s.l2 ELSE -1 END AS c3
+        FROM walk v JOIN steps s ON s.unit = v.unit AND s.r = v.r + 1))""",
+        "named AS (SELECT v.unit, v.t1 AS t FROM walk v JOIN steps s ON s.unit = v.unit AND s.r = v.r WHERE s.r = s.m)",
+    )
+    q["article_vectors"] = _with(
+        r"""
+SELECT article_id, 64 AS entries, CASE WHEN regexp_matches(full_text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END AS norm
+FROM articles"""
     )
     q["keyword_dedup"] = _with(
         """

@@ -12,8 +12,8 @@ from weekloom import vocab
 from weekloom.checks import samples as S
 from weekloom.functions.weeks import with_week
 from weekloom.functions.words import code_name, keyword_entries
-from weekloom.operators import backlog, boosting, clusters, entities, kernels, keywords, labels, merge, pages
-from weekloom.operators import quality
+from weekloom.operators import backlog, boosting, clusters, entities, kernels, keywords, labels, latent, merge, pages
+from weekloom.operators import people, quality
 from weekloom.operators import topics as models
 from weekloom.plans import ingest, marts, training, weekly
 from weekloom.schemas import FEED_ITEM
@@ -607,6 +607,13 @@ def people_keywords(spark, sf):
     return best.select(*STORY, "keyword", "cnt", _r("score"), "rank")
 
 
+@query
+def people_names(spark, sf):
+    """Names by the corpus's own case and neighbours, per cluster."""
+    corpus = S.articles(spark, sf).select("full_text")
+    return people.people_names(_members(spark, sf), STORY, corpus=corpus)
+
+
 @query
 def keyword_dedup(spark, sf):
     t = S.storyline_tables(spark, sf)
@@ -832,6 +839,15 @@ def text_features(spark, sf):
     return rows.select("article_id", F.round(F.sqrt(squares), 6).alias("norm"), used.alias("entries"))
 
 
+@query
+def article_vectors(spark, sf):
+    """A dense vector for every article: its number of entries and its length."""
+    docs = S.articles(spark, sf).select("article_id", "full_text")
+    rows = latent.fit_encoder(docs).embed(docs)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
+    return rows.select("article_id", F.size("embedding").alias("entries"), F.round(F.sqrt(squares), 6).alias("norm"))
+
+
 # ---- streams --------------------------------------------------------------------------
 
 
