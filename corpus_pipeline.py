@@ -15,6 +15,19 @@ from weekloom.llm.packing import pack_documents
 from weekloom.llm.toxicity import THRESHOLD, learnable, score_texts, train
 
 
+# Arrow batches of texts, which both the JVM and the workers hold outside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH``, so that long texts do not fill a task's
+    memory, unless it sets them itself. Plans read these settings when they run, so they
+    are left in place."""
+    for name, most in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(most))
+
+
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a column ``key`` that tells its rows apart, the same on every read.
 
@@ -48,6 +61,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fate; a null text is judged as an empty one. Without usable labels nothing is rejected. An
     empty table stays empty; other columns pass through.
     """
+    _small_batches(spark)
     model, clash = train(docs, learnable(table(spark, sf_dir, "labels"))), _free(docs, "toxicity")
     scored = score_texts(docs.withColumnRenamed("toxicity", clash), model).filter(F.col("toxicity") < THRESHOLD).drop("toxicity")
     return scored.withColumnRenamed(clash, "toxicity").select(*docs.columns)
@@ -61,6 +75,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of repeated rows one stays, and two texts with one id are judged each by itself. Documents
     without words have no copies and stay. An empty table stays empty; other columns pass through.
     """
+    _small_batches(spark)
     return _without(docs, lambda rows: near_duplicates(rows, words=5, percent=80).filter("not kept"), "duplicates")
 
 
@@ -70,6 +85,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by its own text, with or without id; repeated rows share their fate and
     null texts stay. An empty table stays empty; other columns pass through.
     """
+    _small_batches(spark)
     benchmark = table(spark, sf_dir, "benchmark")
     return _without(docs, lambda rows: leaks(rows, benchmark), "leaks")
 
@@ -80,6 +96,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed, repeated ones and those without id or text too; an empty table gives
     no pieces. Columns but doc_id and text are left out.
     """
+    _small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
