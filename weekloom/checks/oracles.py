@@ -468,6 +468,27 @@ UNION ALL SELECT id, 2 FROM known
 UNION ALL SELECT i.id, 3 FROM article_ids i JOIN last_rows l ON l.link = i.link WHERE l.summary = 's2'""",
         *_SCRAPED,
     )
+    q["keyed_article_merge"] = _with(
+        """
+SELECT f.link, l.title, l.summary, f.publication_date, md5(f.full_text) AS full_text
+FROM first_rows f JOIN last_rows l ON l.link = f.link""",
+        *_SCRAPED,
+    )
+    q["stream_article_refresh"] = _with(
+        """
+SELECT f.link, f.publication_date AS published_at, o.name AS outlet, f.author, l.title, l.summary,
+       md5(f.full_text) AS article
+FROM first_rows f JOIN last_rows l ON l.link = f.link JOIN outlets o ON o.id = f.outlet_id""",
+        *_SCRAPED,
+    )
+    q["stream_label_arrivals"] = _with(
+        """
+SELECT g.article_id, g.entity_id, g.topic, CASE WHEN g.article_id < 1000000 THEN 'label' ELSE 'orphan' END AS kind
+FROM given g
+UNION ALL SELECT ae.article_id, ae.entity_id, NULL, 'open' FROM article_entities ae
+WHERE ae.article_id NOT IN (SELECT doc_id FROM labels)""",
+        _LABELS,
+    )
     q["ingest_rejects"] = _with(
         """
 SELECT CASE WHEN id % 11 = 0 THEN 'link' ELSE 'outlet' END AS kind, CASE WHEN id % 11 <> 0 THEN link END AS key,

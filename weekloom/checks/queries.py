@@ -18,9 +18,9 @@ from weekloom.operators import topics as models
 from weekloom.plans import ingest, marts, training, weekly
 from weekloom.schemas import FEED_ITEM
 from weekloom.session import fresh_path
-from weekloom.sources import feeds, publish, tables
+from weekloom.sources import buckets, feeds, publish, tables
 from weekloom.sources import models as saved
-from weekloom.streaming import streams
+from weekloom.streaming import refresh, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -465,6 +465,21 @@ def upsert_article_teams(spark, sf):
     return _upserted(spark, sf)["article_teams"]
 
 
+@query
+def keyed_article_merge(spark, sf):
+    """The scraped rows merged into a table in buckets that knows the English documents."""
+    base = fresh_path(spark, "articles-by-link")
+    columns = ["link", "title", "summary", "publication_date", "full_text"]
+    english = S.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("article_id"))
+    stored = S.articles(spark, sf).join(english, "article_id", "left_semi").withColumn("summary", F.lit("s0"))
+    buckets.create_buckets(spark, base, stored.select(*columns), ["link"], buckets=16)
+    renamed = {"published_at": "publication_date", "article": "full_text"}
+    rows = _scraped(spark, sf).withColumnsRenamed(renamed).select(*columns, "order_no")
+    buckets.merge_buckets(spark, base, rows, ["title", "summary", "full_text"], order_col="order_no")
+    out = buckets.read_buckets(spark, base)
+    return out.withColumn("full_text", F.md5(F.col("full_text").cast("binary")))
+
+
 @query
 def ingest_rejects(spark, sf):
     """What is left out if some links, outlets, teams and dates are not usable, and the tables then."""
@@ -902,6 +917,57 @@ def stream_topic_merge(spark, sf):
     return publish.read_published(spark, base, "topic")
 
 
+@query
+def stream_article_refresh(spark, sf):
+    """Scraped rows arrive in two lots, copies of a link in any order."""
+    landed, base = fresh_path(spark, "scraped"), fresh_path(spark, "refreshed")
+    _scraped(spark, sf).drop("teams", "order_no").repartition(2).write.parquet(landed)
+    schema = spark.read.parquet(landed).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    refresh.refresh_stream(
+        rows,
+        base,
+        "link",
+        ["published_at", "outlet", "author"],
+        ["title", "summary", "article"],
+        checkpoint=fresh_path(spark, "refresh-progress"),
+        delay="365 days",
+        n_buckets=16,
+    ).awaitTermination()
+    out = buckets.read_buckets(spark, base)
+    return out.withColumn("article", F.md5(F.col("article").cast("binary")))
+
+
+@query
+def stream_label_arrivals(spark, sf):
+    """Labels two hours before their article, and labels of unknown articles.
+
+    A row far in the future ends each stream, as a quiet source would send to let the
+    watermark pass; it meets nothing and stays in the state.
+    """
+    dates = S.articles(spark, sf).select("article_id", F.col("publication_date").alias("published_at"))
+    pairs = S.article_entities(spark, sf).join(dates, "article_id")
+    known = dates.withColumn("_key", F.col("article_id")).drop("article_id")
+    given = _labels(spark, sf).withColumn("_key", F.col("article_id") % 1000000).join(known, "_key").select(
+        "article_id", "entity_id", "topic", (F.col("published_at") - F.expr("interval 2 hours")).alias("labelled_at")
+    )
+
+    def stream(df, name, ts_col, beat):
+        path = fresh_path(spark, name)
+        df.coalesce(1).write.parquet(path)
+        late = [F.lit(beat if c == "article_id" else None) if c != ts_col else F.expr("timestamp_ntz '2099-01-01'") for c in df.columns]
+        for _ in range(2):
+            end = spark.range(1).select(*[v.cast(df.schema[c].dataType).alias(c) for c, v in zip(df.columns, late)])
+            end.coalesce(1).write.mode("append").parquet(path)
+        schema = spark.read.parquet(path).schema
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    rows = streams.labels_with_pairs(
+        stream(pairs, "pairs", "published_at", -1), stream(given, "given", "labelled_at", -2), within="7 days", delay="365 days"
+    )
+    return _run(spark, rows, "arrivals")
+
+
 @query
 def stream_topic_scores(spark, sf):
     train = _examples(spark, sf)

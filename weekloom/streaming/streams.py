@@ -53,6 +53,47 @@ def score_topics(model: PipelineModel, rows: DataFrame, keep: list[str]) -> Data
     return predict_topics(model, rows, keep)
 
 
+def labels_with_pairs(
+    pairs: DataFrame,
+    labels: DataFrame,
+    *,
+    pair_ts: str = "published_at",
+    label_ts: str = "labelled_at",
+    within: str = "30 days",
+    delay: str = "1 day",
+) -> DataFrame:
+    """Labels met with (article, entity) pairs, whichever arrives first.
+
+    Both are streams with (article_id, entity_id) and a time. A label meets its pair if
+    their times lie at most ``within`` apart; the row comes out at once, with ``kind``
+    "label". A label whose pair does not come is an "orphan", a pair without a label "open";
+    these come out when the watermarks of both streams have passed what could still meet
+    them, so the state of either side is bounded by ``within`` and ``delay``.
+    """
+    left = pairs.withColumn("_pair_at", F.col(pair_ts).cast("timestamp")).withWatermark("_pair_at", delay)
+    right = labels.select(
+        F.col("article_id").alias("_article"),
+        F.col("entity_id").alias("_entity"),
+        "topic",
+        F.col(label_ts).cast("timestamp").alias("_label_at"),
+    ).withWatermark("_label_at", delay)
+    met = left.join(
+        right,
+        F.expr(
+            "article_id = _article and entity_id = _entity"
+            f" and _label_at >= _pair_at - interval {within} and _label_at <= _pair_at + interval {within}"
+        ),
+        "full_outer",
+    )
+    kind = F.when(F.col("article_id").isNull(), "orphan").when(F.col("_article").isNull(), "open").otherwise("label")
+    return met.select(
+        F.coalesce("article_id", "_article").alias("article_id"),
+        F.coalesce("entity_id", "_entity").alias("entity_id"),
+        "topic",
+        kind.alias("kind"),
+    )
+
+
 def merge_stream(
     rows: DataFrame,
     base: str,
@@ -63,12 +104,14 @@ def merge_stream(
     checkpoint: str,
     order_col: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Merge every micro-batch into a published table, as the batch merge would.
 
     Keep weekly tables by weeks (``publish_weeks``), so that a batch rewrites only the
     weeks it touches. The merge gives the same table if a batch is run again after a
-    failure.
+    failure. ``trigger`` is that of ``writeStream``; without it, what is there now is
+    processed.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -78,19 +121,20 @@ def merge_stream(
     return (
         rows.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def run_to_parquet(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there now into Parquet files, then stop."""
+def run_to_parquet(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> None:
+    """Write into Parquet files until the query ends: without another ``trigger``, when
+    all that is there now is processed."""
     query = (
         rows.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     query.awaitTermination()
