@@ -556,6 +556,26 @@ UNION ALL SELECT 'events.type', event_type, count(*) FROM events
   WHERE event_type NOT IN ('view', 'click') GROUP BY event_type"""
     )
 
+    cluster_key = "concat_ws('|', k.entity_id, k.week_start, CAST(k.week_start + INTERVAL 6 DAY AS DATE), k.cluster_id)"
+    q["storyline_audit"] = _with(
+        f"""
+SELECT 'authors.name' AS check_name, CAST(ascii('d') * 256 + ascii('e') AS VARCHAR) AS key, CAST(1 AS BIGINT) AS n
+  FROM documents WHERE lang = 'de' GROUP BY lang
+UNION ALL SELECT 'teams.name', name, 1 FROM lexicon
+UNION ALL SELECT 'articles.link', CAST(article_id AS VARCHAR), CASE WHEN article_id % 50 = 0 THEN 600 ELSE 1 END
+  FROM stored WHERE article_id % 50 = 0 OR article_id % 90 = 7
+UNION ALL SELECT 'articles.outlet', '9', count(*) FROM stored WHERE article_id % 40 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'article_teams.article', CAST(article_id AS VARCHAR), count(*) FROM entity_counts
+  WHERE cnt >= 2 AND article_id % 30 = 0 GROUP BY article_id
+UNION ALL SELECT 'weekly_topic.pair', e.entity_id || '|' || e.article_id, count(*) FROM weekly_topic w
+  JOIN entity_counts e ON e.article_id = w.article_id AND e.entity_id = w.entity_id WHERE e.cnt = 1 GROUP BY ALL
+UNION ALL SELECT 'weekly_keywords.cluster', {cluster_key}, count(*) FROM weekly_keywords k JOIN weekly_clusters c
+  ON c.entity_id = k.entity_id AND c.week_start = k.week_start AND c.cluster_id = k.cluster_id
+  WHERE c.size < 3 GROUP BY ALL
+UNION ALL SELECT 'weekly_keywords.score', {cluster_key}, 1 FROM weekly_keywords k WHERE length(k.keyword) = 9""",
+        "stored AS (SELECT * FROM articles WHERE article_id % 30 <> 0)",
+    )
+
     # ---- keywords
     q["keyword_ctfidf"] = _with(
         _scored("grams"),

@@ -598,6 +598,34 @@ def audit_constraints(spark, sf):
     )
 
 
+@query
+def storyline_audit(spark, sf):
+    """Every declared constraint over stored tables that break many of them."""
+    t = S.storyline_tables(spark, sf)
+    docs = S.table(spark, sf, "documents")
+    code = (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("long")
+    end = F.date_add("week_start", 6).alias("week_end")
+    team = {"entity_id": "team_id"}
+    stored = {
+        "outlets": t["outlets"],
+        "teams": t["entities"],
+        "authors": docs.select(code.alias("id"), F.when(F.col("lang") != "de", F.col("lang")).alias("name")).distinct(),
+        "articles": t["articles"].join(docs.select(F.col("doc_id").alias("article_id"), "lang"), "article_id").where("article_id % 30 != 0").select(
+            F.col("article_id").alias("id"),
+            F.when(F.col("article_id") % 50 == 0, F.rpad("link", 600, "x")).when(F.col("article_id") % 90 != 7, F.col("link")).alias("link"),
+            F.when(F.col("article_id") % 40 == 1, F.lit(9)).otherwise(F.col("outlet_id")).alias("outlet_id"),
+            code.alias("author_id"),
+        ),
+        "article_teams": S.entity_counts(spark, sf).where("cnt >= 2").select("article_id", F.col("entity_id").alias("team_id")),
+        "weekly_topic": t["weekly_topic"].withColumnsRenamed(team),
+        "weekly_clusters": t["weekly_clusters"].where("size >= 3").select("*", end).withColumnsRenamed(team),
+        "weekly_keywords": t["weekly_keywords"].select(
+            "entity_id", "week_start", end, "cluster_id", "keyword", F.when(F.length("keyword") != 9, F.col("score")).alias("score")
+        ).withColumnsRenamed(team),
+    }
+    return quality.audit_storyline_tables(stored)
+
+
 # ---- keywords -------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.operators.merge import merge
+from weekloom.operators.quality import Rule, observed
 
 _COLUMNS = "version long, tables map<string,string>, weeks map<string,map<string,string>>"
 MANIFEST = f"{_COLUMNS}, written_at timestamp"
@@ -32,6 +33,14 @@ class Version:
     weeks: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
+class ConstraintError(ValueError):
+    """Tables that break their rules, with the number of violations per rule."""
+
+    def __init__(self, found: dict[str, dict[str, int]]):
+        super().__init__(str(found))
+        self.found = found
+
+
 def current_version(spark: SparkSession, base: str) -> Version:
     """The newest manifest; number 0 if nothing was published."""
     try:
@@ -53,21 +62,36 @@ def _announce(spark: SparkSession, base: str, new: Version) -> int:
 
 
 def publish(
-    spark: SparkSession, base: str, tables: dict[str, DataFrame], by: dict[str, list[str]] | None = None
+    spark: SparkSession,
+    base: str,
+    tables: dict[str, DataFrame],
+    by: dict[str, list[str]] | None = None,
+    rules: dict[str, list[Rule]] | None = None,
 ) -> int:
     """Write the tables and make them current; tables not named keep their version.
 
-    ``by`` names partition columns per table. One writer at a time.
+    ``by`` names partition columns per table. The writing jobs count the rows that break
+    ``rules``; if there are any, nothing becomes current and ``ConstraintError`` tells
+    which. One writer at a time.
     """
     version = current_version(spark, base)
     run = uuid.uuid4().hex
+    broken: dict[str, dict[str, int]] = {}
     for name, df in tables.items():
         path = f"{base}/{name}/{run}"
         cols = (by or {}).get(name, [])
+        seen = None
+        if (rules or {}).get(name):
+            df, seen = observed(df, rules[name])
         writer = df.write.mode("error")
         (writer.partitionBy(*cols) if cols else writer).parquet(path)
+        bad = {rule: n for rule, n in (seen.get if seen else {}).items() if n}
+        if bad:
+            broken[name] = bad
         version.tables[name] = path
         version.weeks.pop(name, None)
+    if broken:
+        raise ConstraintError(broken)
     return _announce(spark, base, version)
 
 
