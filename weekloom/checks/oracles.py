@@ -382,6 +382,12 @@ SELECT page_id, {unescape.format("trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>'
 FROM pages"""
     # An unclosed paragraph holds everything up to the end of the article.
     body = "regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+    q["entity_match_patterns"] = _with(
+        """
+SELECT t.article_id, p.entity_id, CAST(len(list_filter(tk, lambda x: regexp_full_match(x, p.pattern))) AS BIGINT) AS cnt
+FROM tokens t CROSS JOIN patterns p WHERE cnt > 0""",
+        f"patterns AS (SELECT * FROM (VALUES {_rows((100 + i, x) for i, x in enumerate(S.PATTERNS))}) t(entity_id, pattern))",
+    )
     q["page_text"] = f"""
 WITH parts AS (
   SELECT page_id, url, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS s FROM pages),

@@ -141,6 +141,16 @@ def entity_match_indexed(spark, sf):
     return hit.where(F.size("teams") > 0).select("article_id", F.array_join("teams", "|").alias("teams"))
 
 
+@query
+def entity_match_patterns(spark, sf):
+    """Mentions by an indexed lexicon of plain words and of other patterns."""
+    rows = [(100 + i, i, f"n{i}", pattern) for i, pattern in enumerate(S.PATTERNS)]
+    lex = spark.createDataFrame(rows, "entity_id int, ord int, name string, pattern string")
+    docs = S.articles(spark, sf).select("article_id", "full_text")
+    hits = entities.mention_hits(docs, lex, inline_limit=0)
+    return entities.explode_hits(hits, ["article_id"]).select("article_id", "entity_id", "cnt")
+
+
 @query
 def entity_counts(spark, sf):
     return S.entity_counts(spark, sf)

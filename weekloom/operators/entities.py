@@ -3,10 +3,10 @@
 A lexicon is a table (entity_id, ord, name, pattern); ``pattern`` is an alternation of
 aliases and ``ord`` breaks ties. A small lexicon becomes part of the row expression, so
 texts are scanned where they lie; if its aliases are plain words that cannot overlap
-between entities, all of them are found in one scan. Of a larger lexicon, the entities
-whose aliases are plain words are indexed by the first word of each alias and met by an
-equi-join, after which the pattern itself decides; a pattern with anything else in it
-can begin with any word, so it is tried on every text. All ways give the same hits.
+between entities, all of them are found in one scan. A larger lexicon is a table of what a
+text must hold: whole aliases where they are plain words, else a few letters that every
+match contains. Texts meet it by an equi-join, and the patterns themselves decide. No
+pattern passes through the driver. All ways give the same hits.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from weekloom.functions.patterns import required_grams
 from weekloom.functions.words import TOKEN, WORD, whole_word
 
 INLINE_ENTITIES = 64
@@ -113,36 +114,86 @@ def _hits(rows: list[Row], counts: list[Column]) -> Column:
     return F.filter(F.array(*found), lambda h: h["cnt"] > 0)
 
 
-# Aliases that begin with an ASCII word and are made of words and single spaces.
-PLAIN = r"^[A-Za-z0-9]+( [\p{L}\p{N}]+)*(\|[A-Za-z0-9]+( [\p{L}\p{N}]+)*)*$"
+# Aliases made of ASCII words and single spaces.
+PLAIN = r"^[A-Za-z0-9]+( [A-Za-z0-9]+)*(\|[A-Za-z0-9]+( [A-Za-z0-9]+)*)*$"
+# A common word or group of letters is looked up in this many places.
+SPLITS = 16
+_COLS = ["ord", "entity_id", "name", "pattern"]
+
+
+def _folded(text: Column) -> Column:
+    """Letters folded as the patterns fold them, as far as they fold to ASCII."""
+    return F.lower(F.upper(F.translate(text, "İ", "i")))
 
 
 def _folded_tokens(text: Column) -> Column:
     """Word tokens, each folded as the patterns fold letters."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
-        lambda w: F.lower(F.upper(F.translate(w, "İ", "i"))),
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _folded)
+
+
+def lexicon_index(lexicon: DataFrame) -> DataFrame:
+    """(probe, size, lexicon columns): a text with a match of a pattern holds one of its probes.
+
+    ``w:`` and a whole alias of ``size`` words, if the pattern is plain words; else one row
+    per branch of the pattern with ``g:`` and up to three letters that the branch cannot do
+    without, those that fewest branches of the lexicon share. A branch that can do without
+    any letter has the probe ``g:``, which every text holds.
+    """
+    is_plain = F.col("pattern").rlike(PLAIN)
+    alias = F.split(_folded(F.col("alias")), " ")
+    plain = lexicon.where(is_plain).select(*_COLS, F.explode(F.split("pattern", r"\|")).alias("alias")).select(
+        F.concat(F.lit("w:"), F.array_join(alias, " ")).alias("probe"), F.size(alias).alias("size"), *_COLS
+    )
+    branches = lexicon.where(~is_plain).select(*_COLS, F.posexplode(required_grams("pattern")).alias("branch", "grams"))
+    options = branches.select(*_COLS, "branch", F.explode("grams").alias("gram"))
+    shared = options.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = options.join(shared, "gram").groupBy(*_COLS, "branch").agg(
+        F.min_by("gram", F.struct(-F.length("gram"), "n", "gram")).alias("gram")
     )
+    odd = best.select(F.concat(F.lit("g:"), "gram").alias("probe"), F.length("gram").alias("size"), *_COLS)
+    return plain.unionByName(odd).distinct()
+
+
+def _probes(text: Column, sizes: list[tuple[str, int]]) -> Column:
+    """All that the index could hold of a text, for the sizes that occur in it."""
+    words = _folded_tokens(text)
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def letters(n: int) -> Column:
+        return F.regexp_extract_all(_folded(text), F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+
+    def marked(kind: str, n: int) -> Column:
+        if kind == "w":
+            found = words if n == 1 else grams(n)
+        else:
+            found = letters(n) if n else F.array(F.lit(""))
+        found = F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
+        return F.transform(found, lambda p: F.concat(F.lit(f"{kind}:"), p))
+
+    parts = [marked(kind, n) for kind, n in sizes]
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
 
 
 def _indexed_hits(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
     """Hits of a lexicon of any size. A text is known by its digest, so repeated rows and
-    rows without an id get their own hits. Patterns that are not plain words go into the
-    plan through the driver."""
-    cols = ["ord", "entity_id", "name", "pattern"]
-    plain = lexicon.where(F.col("pattern").rlike(PLAIN)).select(*cols)
-    odd = lexicon.where(~F.col("pattern").rlike(PLAIN)).select(*cols).collect()
-    first_words = plain.select(*cols, F.explode(F.split("pattern", r"\|")).alias("alias")).select(
-        *cols, F.element_at(_folded_tokens(F.col("alias")), 1).alias("word")
-    )
+    rows without an id get their own hits."""
+    index = lexicon_index(lexicon)
+    # A few numbers: the lengths of aliases in words, and of groups of letters.
+    sizes = index.select(F.substring("probe", 1, 1).alias("kind"), "size").distinct().collect()
     keyed = docs.withColumn("_digest", F.md5(text_col))
-    words = keyed.select(
-        "_digest", F.explode(F.array_distinct(_folded_tokens(F.col(text_col)))).alias("word")
+    held = keyed.select(
+        "_digest",
+        F.pmod(F.xxhash64("_digest"), F.lit(SPLITS)).cast("int").alias("_split"),
+        F.explode(_probes(F.col(text_col), sorted((r["kind"], r["size"]) for r in sizes))).alias("probe"),
     )
+    places = index.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
     candidates = (
-        words.join(first_words.distinct(), "word")
+        held.join(places, ["probe", "_split"])
         .groupBy("_digest")
-        .agg(F.collect_set(F.struct(*cols)).alias("_candidates"))
+        .agg(F.collect_set(F.struct(*_COLS)).alias("_candidates"))
     )
 
     def counted(c: Column) -> Column:
@@ -152,10 +203,7 @@ def _indexed_hits(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFra
     found = F.filter(F.transform("_candidates", counted), lambda h: h["cnt"] > 0)
     met = keyed.join(candidates, "_digest", "left").withColumn("hits", found)
     kind = met.schema["hits"].dataType
-    rows = sorted(odd, key=lambda r: r["ord"])
-    counts = [F.regexp_count(F.col(text_col), F.lit(whole_word(r["pattern"]))) for r in rows]
-    others = _hits(rows, counts) if rows else F.array()
-    every = F.concat(F.coalesce("hits", F.array().cast(kind)), others.cast(kind))
+    every = F.coalesce("hits", F.array().cast(kind))
     return met.withColumn("hits", F.array_sort(every)).drop("_digest", "_candidates")
 
 
