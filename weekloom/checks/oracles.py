@@ -399,6 +399,14 @@ SELECT p.page_id, p.url, coalesce(b.body, '') AS body
 FROM parts p LEFT JOIN (
   SELECT page_id, string_agg({unescape.format(body.format("block"))} || chr(10), '' ORDER BY i) AS body
   FROM blocks GROUP BY page_id) b ON b.page_id = p.page_id"""
+    promo = ", ".join(f"'{x}'" for x in S.PROMO_LINES)
+    q["page_promo_lines"] = rf"""
+SELECT page_id, coalesce((
+  SELECT string_agg({unescape.format("x")} || chr(10), '' ORDER BY i)
+  FROM (SELECT unnest(a) AS x, unnest(range(len(a))) AS i FROM (
+    SELECT regexp_extract_all(regexp_extract(p.html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1) AS a))
+  WHERE x NOT IN ({promo})), '') AS body
+FROM pages p"""
     q["ingest_articles"] = _with(
         rf"""
 SELECT link, published_at, author, teams, standfirst AS summary, article, 'test' AS outlet
@@ -451,6 +459,51 @@ FROM weekly_topic w LEFT JOIN given g ON g.article_id = w.article_id AND g.entit
         "SELECT DISTINCT article_id, entity_id FROM given WHERE article_id >= 1000000", _LABELS
     )
     q["label_file"] = _with("SELECT article_id, entity_id, topic FROM given", _LABELS)
+    q["label_file_blanks"] = _with(
+        """
+SELECT article_id, entity_id, CASE WHEN article_id % 7 NOT IN (4, 5) THEN topic END AS topic
+FROM given WHERE article_id % 7 NOT IN (1, 2, 3)""",
+        _LABELS,
+    )
+    q["label_preview"] = _with(
+        """
+SELECT 'update' AS _action, entity_id, week_start, week_end, article_id, topic AS topic_id, NULL AS n
+FROM (SELECT w.*, g.topic FROM weekly_topic w JOIN given g ON g.article_id = w.article_id AND g.entity_id = w.entity_id
+      ORDER BY w.entity_id, week_start, week_end, w.article_id LIMIT 5)
+UNION ALL SELECT CASE WHEN g.topic IS NULL THEN 'same' ELSE 'update' END, NULL, NULL, NULL, NULL, NULL, count(*)
+FROM weekly_topic w LEFT JOIN given g ON g.article_id = w.article_id AND g.entity_id = w.entity_id GROUP BY 1""",
+        _LABELS,
+    )
+    q["cluster_tables_merge"] = _with(
+        """
+SELECT coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(o.week_start, n.week_start) AS week_start,
+       coalesce(o.cluster_id, n.moved) AS cluster_id, '' AS keyword, CAST(coalesce(n.size + 10, o.size) AS DOUBLE) AS value
+FROM weekly_clusters o FULL JOIN (SELECT *, cluster_id + entity_id % 2 AS moved FROM weekly_clusters) n
+  ON n.entity_id = o.entity_id AND n.week_start = o.week_start AND n.moved = o.cluster_id
+UNION ALL
+SELECT coalesce(o.entity_id, n.entity_id), coalesce(o.week_start, n.week_start), coalesce(o.cluster_id, n.moved),
+       coalesce(o.keyword, n.keyword), CASE WHEN n.moved IS NULL THEN round(o.score, 6) ELSE 2.0e0 END
+FROM weekly_keywords o FULL JOIN (SELECT *, cluster_id + entity_id % 2 AS moved FROM weekly_keywords) n
+  ON n.entity_id = o.entity_id AND n.week_start = o.week_start AND n.moved = o.cluster_id AND n.keyword = o.keyword"""
+    )
+    q["topic_backlog_empty"] = _with(
+        """
+SELECT entity_id, week_start, week_end, article_id, cluster_id, coalesce(topic_id, 6) AS topic_id, topic_probability
+FROM weekly_topic"""
+    )
+    q["people_gazetteer"] = _with(
+        r"""
+SELECT w.entity_id, w.week_start, w.cluster_id, g.keyword, count(*) AS cnt
+FROM grams g JOIN weekly_topic w ON w.article_id = g.article_id
+WHERE w.cluster_id IS NOT NULL AND g.keyword IN (
+  SELECT array_to_string(tk[1:CAST(article_id % 3 + 1 AS INTEGER)], ' ') FROM tokens) GROUP BY ALL""",
+        r"wordy AS (SELECT article_id, list_filter(tk, lambda x: NOT regexp_full_match(x, '\p{Nd}+')) AS w FROM tokens)",
+        """grams AS (
+  SELECT article_id, unnest(w) AS keyword FROM wordy
+  UNION ALL SELECT article_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM wordy
+  UNION ALL SELECT article_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM wordy)""",
+    )
     q["upsert_articles"] = _with(
         """
 SELECT i.id, f.link, l.title, l.summary, f.publication_date, f.outlet_id, a.id AS author_id,

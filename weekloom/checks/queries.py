@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weekloom import vocab
 from weekloom.checks import samples as S
 from weekloom.functions.weeks import with_week
-from weekloom.functions.words import code_name, keyword_entries
+from weekloom.functions.words import code_name, keyword_entries, tokens as words_of
 from weekloom.operators import backlog, boosting, clusters, entities, kernels, keywords, labels, latent, merge, pages
 from weekloom.operators import people, quality
 from weekloom.operators import topics as models
@@ -266,6 +266,14 @@ def page_text(spark, sf):
     return _pages(spark, sf).select("page_id", "url", "body")
 
 
+@query
+def page_promo_lines(spark, sf):
+    """The links of every menu, without those that are promotional lines."""
+    rules = {"test": _PAGE_RULES["test"] | {"body": (("nav",), None, ()), "blocks": ("a",)}}
+    raw = S.table(spark, sf, "pages").withColumn("outlet", F.lit("test"))
+    return pages.extract_pages(raw, rules, promo_lines=S.PROMO_LINES).select("page_id", "body")
+
+
 @query
 def ingest_articles(spark, sf):
     """Feed items about all pages, taken through selection, page reading and clean-up."""
@@ -394,6 +402,35 @@ def label_file(spark, sf):
     return tables.read_labels(spark, path, codes).drop("row_no")
 
 
+@query
+def label_file_blanks(spark, sf):
+    """A label file with padded names, blank and unknown teams, and topics that are no numbers."""
+    path = fresh_path(spark, "labels")
+    number = F.col("article_id") % 7
+    out = _labels(spark, sf).join(S.lexicon(spark).select("entity_id", "name"), "entity_id").select(
+        F.concat(F.lit(" "), F.col("article_id").cast("string")).alias("ARTICLE_ID"),
+        F.when(number == 1, F.lit("  ")).when(number == 2, F.lit("Omega")).when(number != 3, F.concat("name", F.lit(" "))).alias(" Team"),
+        F.when(number == 4, F.lit("none")).when(number != 5, F.col("topic").cast("string")).alias("Topic "),
+    )
+    out.write.option("sep", ";").option("header", True).option("encoding", "UTF-16").csv(path)
+    codes = {name: code for code, _, name, _ in S.LEXICON}
+    return tables.read_labels(spark, path, codes).drop("row_no")
+
+
+@query
+def label_preview(spark, sf):
+    """What a dry run shows: rows per action, and the first rows that would be written."""
+    updates = labels.label_updates(S.articles(spark, sf), S.article_entities(spark, sf), _labels(spark, sf))
+    counts, first = labels.preview_rows(labels.merge_labels(S.weekly_topic(spark, sf), updates))
+    empty = F.lit(None)
+    return first.select("_action", *[c for c in ROW], "topic_id", empty.cast("long").alias("n")).unionByName(
+        counts.select(
+            "_action", "n", empty.cast("int").alias("entity_id"), empty.cast("date").alias("week_start"),
+            empty.cast("date").alias("week_end"), empty.cast("long").alias("article_id"), empty.cast("int").alias("topic_id"),
+        )
+    )
+
+
 def _scraped(spark, sf):
     """All documents as scraped rows, and a second copy of each labelled one."""
     docs = S.articles(spark, sf).join(
@@ -531,6 +568,20 @@ def cluster_column_merge(spark, sf):
     return merge.merge(topic, new, ROW, ["cluster_id"])
 
 
+@query
+def cluster_tables_merge(spark, sf):
+    """Sizes and keywords of a later run merged into the stored ones, as in incremental mode."""
+    t = S.storyline_tables(spark, sf)
+    moved = (F.col("cluster_id") + F.col("entity_id") % 2).cast("int")
+    sizes = t["weekly_clusters"].select(*WEEK, moved.alias("cluster_id"), (F.col("size") + 10).alias("size"))
+    words = t["weekly_keywords"].select(*WEEK, moved.alias("cluster_id"), "keyword", F.lit(2.0).alias("score"))
+    clusters_now = merge.merge(t["weekly_clusters"], sizes, STORY, ["size"])
+    words_now = merge.merge(t["weekly_keywords"], words, [*STORY, "keyword"], ["score"])
+    return clusters_now.select(*STORY, F.lit("").alias("keyword"), F.col("size").cast("double").alias("value")).unionByName(
+        words_now.select(*STORY, "keyword", F.round("score", 6).alias("value"))
+    )
+
+
 @query
 def delete_cascade(spark, sf):
     t = S.storyline_tables(spark, sf)
@@ -667,6 +718,16 @@ def people_names(spark, sf):
     return people.people_names(_members(spark, sf), STORY, corpus=corpus)
 
 
+@query
+def people_gazetteer(spark, sf):
+    """Names of one to three words from a list: here the first words of every document."""
+    first = words_of(F.col("full_text"))
+    names = S.articles(spark, sf).select(
+        F.array_join(F.slice(first, 1, (F.col("article_id") % 3 + 1).cast("int")), " ").alias("name")
+    )
+    return keywords.people_counts(_members(spark, sf), STORY, gazetteer=names)
+
+
 @query
 def keyword_dedup(spark, sf):
     t = S.storyline_tables(spark, sf)
@@ -836,6 +897,19 @@ def topic_predictions(spark, sf):
     return models.predict_topics(model, rows.join(_examples(spark, sf), "article_id"), ROW)
 
 
+@query
+def topic_backlog_empty(spark, sf):
+    """The labelling job with nothing to label: the table stays as it is."""
+    t = S.storyline_tables(spark, sf)
+    t["weekly_topic"] = t["weekly_topic"].withColumn("topic_id", F.coalesce("topic_id", F.lit(6)))
+    train = _topic_examples(spark, sf)
+    model = models.fit(models.logistic(train.count()), train)
+    merged, undated = weekly.label_new_rows(
+        t, model, lambda rows: rows.join(_examples(spark, sf).drop("label"), "article_id"), []
+    )
+    return merged.unionByName(undated, allowMissingColumns=True)
+
+
 @query
 def cross_val_predictions(spark, sf):
     rows = _examples(spark, sf)

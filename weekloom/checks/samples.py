@@ -27,6 +27,7 @@ LEXICON = [
 OUTLETS = [(1, "BBC"), (2, "TheGuardian"), (3, "SkySports")]
 # Patterns for single words, plain and other.
 PATTERNS = ["that|with", "th(?:is|e)", "[0-9]+", "ni[ck]ht|sich", "un[ao]?", "d[ae]ns*", "los", "pour|po+r", "[a-z]{2}", "fro?m|und"]
+PROMO_LINES = ["The", "En", "Nicht", "los", "the", "und", "sch"]
 STOP_WORDS = ["the", "and", "that", "with", "for", "this", "from", "les", "des", "und", "der", "los"]
 
 
