@@ -4,9 +4,10 @@ Every group is swept over the full range of k from 2 to half the group. Groups o
 ``local_rows`` articles are clustered whole, each in one task. A larger group never meets
 in one task: its points are cut into chunks, every iteration sends each chunk only that
 group's centres, and the chunks' sums are added up by an aggregation. Starting centres
-are picked among all articles in the same way: each chunk names its best candidate, the
-best of them is the pick. Both ways have the same picks, rounds and stopping rule, so the
-size of a group changes how it is worked on and not what comes out.
+are picked among all articles in the same way: each chunk names its best candidates for
+the next picks, and as many picks are made of them as are sure to be right. Both ways have
+the same picks, rounds and stopping rule, so the size of a group changes how it is worked
+on and not what comes out.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from weekloom.session import cut_lineage
 LOCAL_ROWS = 1000
 CHUNK_ROWS = 50_000
 # Centres of one group that a chunk gets at a time, unless a single k has more.
-CENTRES = 4096
+CENTRES = 65_536
+# Distances worked out at a time.
+TILE = 4_194_304
+# Picks prepared by one job, and candidates kept for each.
+PICKS, RUNNERS = 64, 32
 # Squared way the centres may still move; small enough for no label to change.
 TOL = 1e-9
 
@@ -107,6 +112,14 @@ def _sums(x: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return member.T @ x, np.bincount(labels, minlength=k)
 
 
+def _tiles(x: np.ndarray, centres: np.ndarray):
+    """(first row, rows, labels) in pieces of at most ``TILE`` distances."""
+    size = max(1, TILE // max(1, len(centres)))
+    for at in range(0, len(x), size):
+        part = x[at : at + size]
+        yield at, part, _distances(part, centres).argmin(1)
+
+
 def _lloyd(x: np.ndarray, centres: np.ndarray, max_iter: int, tol: float):
     """Labels and inertia after at most ``max_iter`` rounds; empty clusters stay put."""
     k = len(centres)
@@ -210,31 +223,72 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, chunk_rows, ks)
         )
 
     def nominate(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame | None:
-        """A chunk's best candidate for the next pick (see ``_seeds``)."""
+        """A chunk's best candidates for the next picks (see ``_seeds``), by the distances
+        to the picks so far. These only shrink with further picks, so ``value`` is the
+        lowest that a candidate can have when its pick is made."""
         rows = rows.sort_values(id_col, ignore_index=True)
         x = np.stack(rows["features"].to_numpy()).astype(float)
         near = np.full(len(x), np.inf)
         for centre in mine["centre"]:
             near = np.minimum(near, ((x - np.asarray(centre)) ** 2).sum(1))
-        value = _draws(rows[id_col], len(mine), seed)
-        if len(mine):
-            value = np.where(near > 0, value / np.where(near > 0, near, 1.0), np.inf)
-        best = int(value.argmin())
-        if not np.isfinite(value[best]):
-            return None
-        return pd.DataFrame({"value": [value[best]], id_col: [rows[id_col][best]], "centre": [x[best]]})
+        parts = []
+        for pick in range(len(mine), len(mine) + PICKS):
+            draws = _draws(rows[id_col], pick, seed)
+            value = np.where(near > 0, draws / np.where(near > 0, near, 1.0), np.inf) if pick else draws
+            best = np.argsort(value, kind="stable")[: RUNNERS + 1]
+            best = best[np.isfinite(value[best])]
+            part = pd.DataFrame({"value": value[best], "draw": draws[best], "near": near[best], "centre": list(x[best])})
+            part[id_col] = rows[id_col].to_numpy()[best]
+            part["c"] = pick
+            parts.append(part)
+        found = pd.concat(parts, ignore_index=True)
+        return None if found.empty else found
+
+    def choose(found: pd.DataFrame) -> pd.DataFrame:
+        """Picks in a row, as far as no candidate left out can be better: the first always
+        is, and a later one if it beats the lowest value that those left out can have."""
+        first = int(found["c"].min())
+        picked: list[np.ndarray] = []
+        for pick, sent in found.sort_values(["c", "value", id_col]).groupby("c"):
+            if pick != first + len(picked):
+                break
+            rest = sent["value"].iloc[RUNNERS] if len(sent) > RUNNERS else np.inf
+            sent = sent.iloc[:RUNNERS]
+            x = np.stack(sent["centre"].to_numpy()).astype(float)
+            near = sent["near"].to_numpy()
+            for centre in picked:
+                near = np.minimum(near, ((x - centre) ** 2).sum(1))
+            draws = sent["draw"].to_numpy()
+            value = np.where(near > 0, draws / np.where(near > 0, near, 1.0), np.inf) if pick else draws
+            best = int(np.lexsort((sent[id_col].to_numpy(), value))[0])
+            if pick > first and not value[best] < rest:
+                break
+            picked.append(x[best])
+        result = pd.DataFrame({"c": np.arange(first, first + len(picked)), "centre": picked})
+        for c in group_cols:
+            result[c] = [found[c].iloc[0]] * len(result)
+        return result[[*group_cols, "c", "centre"]]
 
     pick_fields = [T.StructField("c", T.IntegerType()), T.StructField("centre", vector)]
     picks = points.sparkSession.createDataFrame([], T.StructType([*keys, *pick_fields]))
-    live, pick = bounds, 0
-    named = [*keys, T.StructField("value", T.DoubleType()), points.schema[id_col], pick_fields[1]]
+    numbers = [T.StructField(name, T.DoubleType()) for name in ("value", "draw", "near")]
+    named = [*keys, *pick_fields, *numbers, points.schema[id_col]]
+    live = bounds
     while not live.isEmpty():
-        best = F.min_by("centre", F.struct("value", id_col)).alias("centre")
-        found = visit(nominate, picks, live, named).groupBy(*group_cols).agg(best)
-        found = found.select(*group_cols, F.lit(pick).cast("int").alias("c"), "centre")
+        # The window keeps that many rows per partition before the shuffle, so a group's
+        # task gets PICKS * (RUNNERS + 1) candidates, whatever the number of its chunks.
+        lowest = Window.partitionBy(*group_cols, "c").orderBy("value", id_col)
+        found = (
+            visit(nominate, picks, live, named)
+            .withColumn("_rank", F.row_number().over(lowest)).where(F.col("_rank") <= RUNNERS + 1).drop("_rank")
+            .groupBy(*group_cols).applyInPandas(choose, T.StructType([*keys, *pick_fields]))
+        )
+        fresh = cut_lineage(found)
         # Few partitions: every round adds those of its own picks.
-        picks, pick = cut_lineage(picks.unionByName(found).coalesce(8)), pick + 1
-        live = picks.where(F.col("c") == pick - 1).join(bounds, group_cols).where(F.col("k_high") > pick)
+        picks = cut_lineage(picks.unionByName(fresh).coalesce(8))
+        # A group without a new pick has no place left that is not one.
+        upto = fresh.groupBy(*group_cols).agg(F.max("c").alias("_last"))
+        live = upto.join(bounds, group_cols).where(F.col("k_high") > F.col("_last") + 1)
 
     def sums(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame | None:
         x = np.stack(rows["features"].to_numpy()).astype(float)
@@ -242,10 +296,12 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, chunk_rows, ks)
         for k, at_k in mine.groupby("k"):
             at_k = at_k.sort_values("c")
             centre = np.stack(at_k["centre"].to_numpy())
-            labels = _distances(x, centre).argmin(1)
-            totals, counts = _sums(x, labels, len(centre))
-            near = ((x - centre[labels]) ** 2).sum(1)
-            cost = np.bincount(labels, weights=near, minlength=len(centre))
+            totals, counts, cost = 0.0, 0, 0.0
+            for _, some, labels in _tiles(x, centre):
+                total, count = _sums(some, labels, len(centre))
+                near = ((some - centre[labels]) ** 2).sum(1)
+                totals, counts = totals + total, counts + count
+                cost = cost + np.bincount(labels, weights=near, minlength=len(centre))
             part = pd.DataFrame({"c": at_k["c"].to_numpy(), "n": counts, "total": list(totals), "cost": cost})
             part["k"] = k
             parts.append(part[part["n"] > 0])
@@ -256,7 +312,7 @@ def _large(points, group_cols, id_col, out, seed, max_iter, tol, chunk_rows, ks)
             return None
         x = np.stack(rows["features"].to_numpy()).astype(float)
         mine = mine.sort_values("c")
-        labels = _distances(x, np.stack(mine["centre"].to_numpy())).argmin(1)
+        labels = np.concatenate([found for _, _, found in _tiles(x, np.stack(mine["centre"].to_numpy()))])
         return pd.DataFrame({id_col: rows[id_col].to_numpy(), "cluster_id": mine["c"].to_numpy()[labels]})
 
     sum_fields = [
