@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.patterns import required_grams
 from weekloom.functions.words import TOKEN, WORD, whole_word
+from weekloom.session import stored
 
 INLINE_ENTITIES = 64
 
@@ -180,7 +181,8 @@ def _probes(text: Column, sizes: list[tuple[str, int]]) -> Column:
 def _indexed_hits(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
     """Hits of a lexicon of any size. A text is known by its digest, so repeated rows and
     rows without an id get their own hits."""
-    index = lexicon_index(lexicon)
+    # Written once: the patterns are looked into in this job, not in the one over the texts.
+    index = stored(lexicon_index(lexicon), "lexicon")
     # A few numbers: the lengths of aliases in words, and of groups of letters.
     sizes = index.select(F.substring("probe", 1, 1).alias("kind"), "size").distinct().collect()
     keyed = docs.withColumn("_digest", F.md5(text_col))

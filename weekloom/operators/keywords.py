@@ -15,6 +15,7 @@ from weekloom.functions.words import (
     tokens,
     wordy_tokens,
 )
+from weekloom.session import stored
 
 NAME_RUN = r"\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}"
 
@@ -91,7 +92,10 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
     the second a score that the ``k`` phrases of highest count are sure to reach. Phrases
     whose highest score lies below that are left out before counts meet their totals, a
     join that would shuffle every count otherwise. The result is the same.
+
+    The counts are written once and read from there, as five scans need them.
     """
+    counts = stored(counts, "phrase-counts")
     # Few rows: the distinct counts of each cluster, and how many phrases have them.
     steps = counts.groupBy(*group_cols, "cnt").agg(F.count(F.lit(1)).alias("_phrases"))
     falling = Window.partitionBy(*group_cols).orderBy(F.desc("cnt"))
@@ -203,7 +207,8 @@ def drop_contained(keywords: DataFrame, group_cols: list[str]) -> DataFrame:
     """
     low = F.lower("keyword")
     first = keywords.groupBy(*group_cols, "keyword").agg(F.max("score").alias("score"))
-    single = (
+    # Written once: all that follows reads these few rows again.
+    single = stored(
         first.groupBy(*group_cols, low.alias("_low"))
         .agg(
             F.min_by(
@@ -211,7 +216,8 @@ def drop_contained(keywords: DataFrame, group_cols: list[str]) -> DataFrame:
                 F.struct(-F.length("keyword"), -F.col("score"), F.col("keyword")),
             ).alias("_best")
         )
-        .select(*group_cols, "_low", "_best.keyword", "_best.score")
+        .select(*group_cols, "_low", "_best.keyword", "_best.score"),
+        "keywords",
     )
     # Only substrings as long as some keyword of the cluster can equal one.
     lengths = single.groupBy(*group_cols).agg(F.collect_set(F.length("_low")).alias("_lengths"))
