@@ -17,7 +17,7 @@ from weekloom.operators import people, quality
 from weekloom.operators import topics as models
 from weekloom.plans import ingest, marts, training, weekly
 from weekloom.schemas import FEED_ITEM
-from weekloom.session import fresh_path
+from weekloom.session import fresh_path, stored
 from weekloom.sources import buckets, feeds, publish, tables
 from weekloom.sources import models as saved
 from weekloom.streaming import refresh, streams
@@ -518,8 +518,8 @@ def keyed_article_merge(spark, sf):
     base = fresh_path(spark, "articles-by-link")
     columns = ["link", "title", "summary", "publication_date", "full_text"]
     english = S.table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("article_id"))
-    stored = S.articles(spark, sf).join(english, "article_id", "left_semi").withColumn("summary", F.lit("s0"))
-    buckets.create_buckets(spark, base, stored.select(*columns), ["link"], buckets=16)
+    old = S.articles(spark, sf).join(english, "article_id", "left_semi").withColumn("summary", F.lit("s0"))
+    buckets.create_buckets(spark, base, old.select(*columns), ["link"], buckets=16)
     renamed = {"published_at": "publication_date", "article": "full_text"}
     rows = _scraped(spark, sf).withColumnsRenamed(renamed).select(*columns, "order_no")
     buckets.merge_buckets(spark, base, rows, ["title", "summary", "full_text"], order_col="order_no")
@@ -872,7 +872,7 @@ def model_scores(spark, sf):
 @query
 def topic_model_eval(spark, sf):
     """Fit on 70 %, score on 30 %."""
-    rows = models.stratified_split(_examples(spark, sf)).persist()
+    rows = stored(models.stratified_split(_examples(spark, sf)), "split")
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     model = models.fit(models.logistic(train.count()), train)
     return models.accuracy(models.confusion_counts(model.transform(test)))

@@ -46,7 +46,9 @@ def current_version(spark: SparkSession, base: str) -> Version:
     try:
         rows = spark.read.schema(MANIFEST).json(f"{base}/_manifests")
         row = rows.orderBy(F.desc("version")).first()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return Version()
     if row is None:
         return Version()
