@@ -150,3 +150,17 @@ def test_trend(tables):
 def test_newest_first(tables):
     got = [r["article_id"] for r in marts.storyline_articles(tables, 1, W).collect()]
     assert got == [2, 1, 3]
+
+
+def test_own_names_go_on_both_ways(spark, monkeypatch):
+    lexicon = spark.createDataFrame(
+        [(1, 1, "A", "arsenal|gunners"), (1, 2, "A", "the arse"), (2, 3, "B", r"f\.?c")], "entity_id int, ord int, name string, pattern string"
+    )
+    rows = [(1, "Arsenal win"), (1, "fc"), (1, "the arse"), (2, "F.C"), (2, "gunners"), (3, "fc"), (3, ""), (None, "x"), (2, ""), (1, "gunnersx")]
+    words = spark.createDataFrame(rows, "entity_id int, keyword string")
+    want = [(None, "x"), (1, "fc"), (1, "gunnersx"), (2, ""), (2, "gunners"), (3, "fc")]
+    for rows_or_none in (None, False):
+        if rows_or_none is False:
+            monkeypatch.setattr(K, "inline_lexicon", lambda lexicon: None)
+        out = K.drop_own_aliases(words, lexicon)
+        assert sorted((tuple(r) for r in out.collect()), key=lambda r: (r[0] or 0, r[1])) == want

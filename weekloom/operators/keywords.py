@@ -13,8 +13,10 @@ from weekloom.functions.words import (
     drop_words,
     explode_ngrams,
     tokens,
+    whole_word,
     wordy_tokens,
 )
+from weekloom.operators.entities import SPLITS, inline_lexicon
 from weekloom.session import stored
 
 NAME_RUN = r"\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}"
@@ -188,13 +190,31 @@ def drop_own_aliases(
     keywords: DataFrame, lexicon: DataFrame, entity_col: str = "entity_id"
 ) -> DataFrame:
     """Drop keywords that name the entity itself. For an unknown entity only an empty
-    keyword goes."""
-    whole = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.col("pattern"), F.lit(f")(?!{WORD})"))
-    own = lexicon.select(F.col("entity_id").alias("_e"), whole.alias("_p"))
+    keyword goes.
+
+    A small lexicon becomes part of the row expression. A larger one is joined by entity in
+    ``SPLITS`` places, as one entity may have a large share of all keywords.
+    """
+    rows = inline_lexicon(lexicon)
+    if rows is not None:
+        own: dict[int, list[str]] = {}
+        for r in rows:
+            own.setdefault(r["entity_id"], []).append(r["pattern"])
+        names = F.lit(False)
+        for entity, patterns in own.items():
+            names = names | ((F.col(entity_col) == entity) & F.col("keyword").rlike(whole_word("|".join(patterns))))
+        known = F.coalesce(F.col(entity_col).isin(list(own)), F.lit(False)) if own else F.lit(False)
+        return keywords.where(F.when(known, ~names).otherwise(F.col("keyword") != ""))
+    every = F.concat_ws("|", F.array_sort(F.collect_set("pattern")))
+    whole = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), every, F.lit(f")(?!{WORD})"))
+    own_names = lexicon.groupBy(F.col("entity_id").alias("_e")).agg(whole.alias("_p")).withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))
+    )
+    split = F.pmod(F.xxhash64("keyword"), F.lit(SPLITS)).cast("int")
     return (
-        keywords.join(own, keywords[entity_col] == own["_e"], "left")
+        keywords.join(own_names, (keywords[entity_col] == own_names["_e"]) & (split == own_names["_s"]), "left")
         .where(~F.expr("keyword rlike coalesce(_p, '^$')"))
-        .drop("_e", "_p")
+        .drop("_e", "_p", "_s")
     )
 
 
