@@ -486,6 +486,9 @@ SELECT coalesce(o.entity_id, n.entity_id), coalesce(o.week_start, n.week_start),
 FROM weekly_keywords o FULL JOIN (SELECT *, cluster_id + entity_id % 2 AS moved FROM weekly_keywords) n
   ON n.entity_id = o.entity_id AND n.week_start = o.week_start AND n.moved = o.cluster_id AND n.keyword = o.keyword"""
     )
+    q["saved_model_scores"] = """
+SELECT vec_id AS article_id, true AS same, true AS usable, 'balanced' AS notes FROM embeddings"""
+    q["stream_scores_as_batch"] = "SELECT vec_id AS article_id, true AS same FROM embeddings"
     q["topic_backlog_empty"] = _with(
         """
 SELECT entity_id, week_start, week_end, article_id, cluster_id, coalesce(topic_id, 6) AS topic_id, topic_probability

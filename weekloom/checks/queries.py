@@ -897,6 +897,26 @@ def topic_predictions(spark, sf):
     return models.predict_topics(model, rows.join(_examples(spark, sf), "article_id"), ROW)
 
 
+@query
+def saved_model_scores(spark, sf):
+    """A model saved and loaded scores as the one in memory, and its description is kept."""
+    train = _topic_examples(spark, sf)
+    path = fresh_path(spark, "model")
+    model = models.fit(models.logistic(train.count()), train)
+    saved.save_model(model, path, classes=[0, 1, 2, 3], created_at=saved.model_name(spark, "t"), notes="balanced")
+    again, info = saved.load_model(spark, path)
+    rows = stored(_examples(spark, sf).select("article_id", "features"), "examples")
+    one = models.predict_topics(model, rows, ["article_id"])
+    other = models.predict_topics(again, rows, ["article_id"]).withColumnsRenamed(
+        {"topic_id": "again_id", "topic_probability": "again_probability"}
+    )
+    same = (F.col("topic_id") == F.col("again_id")) & (F.col("topic_probability") == F.col("again_probability"))
+    usable = F.col("topic_id").isin(list(info["classes"])) & F.col("topic_probability").between(0.25, 1.0)
+    return one.join(other, "article_id").select(
+        "article_id", same.alias("same"), usable.alias("usable"), F.lit(info["notes"]).alias("notes")
+    )
+
+
 @query
 def topic_backlog_empty(spark, sf):
     """The labelling job with nothing to label: the table stays as it is."""
@@ -1080,6 +1100,20 @@ def stream_label_arrivals(spark, sf):
     return _run(spark, rows, "arrivals")
 
 
+@query
+def stream_scores_as_batch(spark, sf):
+    """Every arriving row is scored once, as the batch scores it."""
+    train = _examples(spark, sf)
+    model = models.fit(models.logistic(train.count()), train)
+    arriving = _stream(spark, sf, "embeddings").withColumnRenamed("vec_id", "article_id")
+    arrived = _run(spark, streams.score_topics(model, models.embed(arriving, encoder="embedding"), ["article_id"]), "scores")
+    batch = models.predict_topics(model, train, ["article_id"]).withColumnsRenamed(
+        {"topic_id": "batch_id", "topic_probability": "batch_probability"}
+    )
+    same = (F.col("topic_id") == F.col("batch_id")) & (F.col("topic_probability") == F.col("batch_probability"))
+    return arrived.join(batch, "article_id", "full").select("article_id", F.coalesce(same, F.lit(False)).alias("same"))
+
+
 @query
 def stream_topic_scores(spark, sf):
     train = _examples(spark, sf)
