@@ -194,7 +194,8 @@ def _write_run(spark: SparkSession, base: str, layout: Layout, rows: DataFrame)
     # A word is or-ed up before the shuffle; a bucket has at most ``words`` of them.
     words = _with_place(back, layout).groupBy(BUCKET, "_word").agg(F.bit_or("_mask").alias("_bits"))
     (
-        words.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{base}/{FILTERS}/{run}")
+        words.withColumn("_at", F.col(BUCKET)).hint("rebalance", F.col(BUCKET))
+        .write.partitionBy(BUCKET).parquet(f"{base}/{FILTERS}/{run}")
     )
     prefix = f"{BUCKET}="
     names = [s.getPath().getName() for s in _listed(spark, f"{base}/{ROWS}/{run}")]
@@ -236,18 +237,11 @@ def known_keys(spark: SparkSession, base: str, v: BucketVersion, batch: DataFram
     layout = v.layout
     keys = batch.select(*layout.keys).withColumn(BUCKET, _bucket_of(layout))
     touched = [b for b in _small_ints(keys, BUCKET) if b in v.runs]
-    by_run: dict[str, list[int]] = {}
-    for b in touched:
-        for run in v.runs[b]:
-            by_run.setdefault(run, []).append(b)
-    full = f"_word int, _bits long, {BUCKET} int"
-    words = spark.createDataFrame([], full)
-    for run, held in by_run.items():
-        root = f"{base}/{FILTERS}/{run}"
-        folders = [f"{root}/{BUCKET}={b}" for b in held]
-        words = words.unionByName(spark.read.option("basePath", root).schema(full).parquet(*folders))
+    # One scan of all runs; the folders' names are not read, so the bucket is a column too.
+    fields = [("_word", T.IntegerType()), ("_bits", T.LongType()), ("_at", T.IntegerType())]
+    words = _read(spark, base, v, FILTERS, T.StructType([T.StructField(*f) for f in fields]), touched)
     maybe = (
-        words.join(_with_place(keys, layout), [BUCKET, "_word"])
+        words.withColumnRenamed("_at", BUCKET).join(_with_place(keys, layout), [BUCKET, "_word"])
         .where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
         .select(BUCKET, *layout.keys).distinct()
     )
