@@ -999,8 +999,10 @@ def article_vectors(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of them: a pattern names both, where a
+    plain path must be a folder."""
     schema = S.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def _run(spark, rows, name):
