@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from weekloom.checks import queries as Q
+from weekloom.operators import pages
 
 
 @pytest.fixture
@@ -21,3 +22,18 @@ def test_streams_read_tables_of_several_files(spark, parted):
     assert sorted(r["article_id"] for r in scored.collect()) == list(range(20))
     same = Q.all_queries()["stream_scores_as_batch"](spark, parted).collect()
     assert len(same) == 20 and all(r["same"] for r in same)
+
+
+def test_pages_are_read_in_small_batches(spark):
+    """A worker gets pages a hundred at a time, whatever the session's Arrow batches."""
+    raw = spark.createDataFrame(
+        [(1, "<article><h1>a</h1><p>x</p><p>y</p></article>", "test"), (2, None, "test"), (3, "<p>z</p>", None)],
+        "page_id long, html string, outlet string",
+    )
+    found = pages.extract_pages(raw, Q._PAGE_RULES, excluded_hrefs=["/The"])
+    assert found.columns == ["page_id", "outlet", "author", "standfirst", "excluded_link", "body"]
+    assert [tuple(r)[2:] for r in found.orderBy("page_id").collect()] == [
+        ("a", "", False, "x\ny\n"), ("", "", False, ""), ("", "", False, "")
+    ]
+    plan = pages.drop_pages_linking_to(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "InPandas" not in plan

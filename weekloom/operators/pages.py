@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weekloom.functions.html import body_blocks, first_text, links_to, read_html
 
+PARTS = "author string, standfirst string, lines array<string>, excluded_link boolean"
+
 
 def extract_pages(
     pages: DataFrame,
@@ -27,38 +25,29 @@ def extract_pages(
     newline; a page without a body container, or of an unknown outlet, gets an empty body.
     Lines equal to a promotional text are dropped. Pages stay in their partitions.
     """
-    kept = [f for f in pages.schema.fields if f.name != html_col]
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("author", T.StringType()),
-            T.StructField("standfirst", T.StringType()),
-            T.StructField("lines", T.ArrayType(T.StringType())),
-            T.StructField("excluded_link", T.BooleanType()),
-        ]
-    )
-    names = [f.name for f in kept]
     hrefs = frozenset(excluded_hrefs)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            authors, firsts, bodies, flags = [], [], [], []
-            for html, outlet in zip(batch[html_col], batch[outlet_col]):
-                rules, root = selectors.get(outlet), read_html(html)
-                authors.append(first_text(root, rules["author"]) if rules else "")
-                firsts.append(first_text(root, rules["standfirst"]) if rules else "")
-                bodies.append(body_blocks(root, rules) if rules else [])
-                flags.append(links_to(root, hrefs))
-            yield batch[names].assign(
-                author=authors, standfirst=firsts, lines=bodies, excluded_link=flags
-            )
-
-    lines = F.col("lines")
+    def read(html: str | None, outlet: str | None) -> tuple:
+        rules, root = selectors.get(outlet), read_html(html)
+        return (
+            first_text(root, rules["author"]) if rules else "",
+            first_text(root, rules["standfirst"]) if rules else "",
+            body_blocks(root, rules) if rules else [],
+            links_to(root, hrefs),
+        )
+
+    # Plain rows come a hundred at a time, so a worker never holds many pages. Marked as not
+    # deterministic, or filters on the parts would read the page again.
+    parts = F.udf(read, PARTS, useArrow=False).asNondeterministic()
+    found = pages.withColumn("_parts", parts(html_col, outlet_col)).drop(html_col)
+    lines = F.col("_parts.lines")
     if promo_lines:
         promo = list(promo_lines)
         lines = F.filter(lines, lambda line: ~line.isin(promo))
     body = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
-    return pages.mapInPandas(read, schema).withColumn("body", body).drop("lines")
+    return found.select(
+        "*", "_parts.author", "_parts.standfirst", "_parts.excluded_link", body.alias("body")
+    ).drop("_parts")
 
 
 def drop_pages_linking_to(pages: DataFrame, flag_col: str = "excluded_link") -> DataFrame:
