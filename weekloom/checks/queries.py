@@ -1088,13 +1088,15 @@ def stream_label_arrivals(spark, sf):
 
     def stream(df, name, ts_col, beat):
         path = fresh_path(spark, name)
-        df.coalesce(1).write.parquet(path)
+        df.write.parquet(path)
+        written = spark.read.schema(df.schema).parquet(path)
         late = [F.lit(beat if c == "article_id" else None) if c != ts_col else F.expr("timestamp_ntz '2099-01-01'") for c in df.columns]
         for _ in range(2):
             end = spark.range(1).select(*[v.cast(df.schema[c].dataType).alias(c) for c, v in zip(df.columns, late)])
             end.coalesce(1).write.mode("append").parquet(path)
-        schema = spark.read.parquet(path).schema
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # All rows arrive first, in as many files as tasks wrote them; then the late ones.
+        files = max(1, len(written.inputFiles()))
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
     rows = streams.labels_with_pairs(
         stream(pairs, "pairs", "published_at", -1), stream(given, "given", "labelled_at", -2), within="7 days", delay="365 days"
