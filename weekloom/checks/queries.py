@@ -1055,9 +1055,11 @@ def stream_topic_merge(spark, sf):
 def stream_article_refresh(spark, sf):
     """Scraped rows arrive in two lots, copies of a link in any order."""
     landed, base = fresh_path(spark, "scraped"), fresh_path(spark, "refreshed")
-    _scraped(spark, sf).drop("teams", "order_no").repartition(2).write.parquet(landed)
+    # A lot is as many files as there are cores, so no task writes or reads half of the rows.
+    files = max(1, spark.sparkContext.defaultParallelism)
+    _scraped(spark, sf).drop("teams", "order_no").repartition(2 * files).write.parquet(landed)
     schema = spark.read.parquet(landed).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landed)
     refresh.refresh_stream(
         rows,
         base,
