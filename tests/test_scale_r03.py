@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 from weekloom.checks import queries as Q
-from weekloom.operators import pages
+from weekloom.operators import entities, pages
+from weekloom.operators import keywords as K
 
 
 @pytest.fixture
@@ -37,3 +38,27 @@ def test_pages_are_read_in_small_batches(spark):
     ]
     plan = pages.drop_pages_linking_to(found)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchEvalPython") == 1 and "InPandas" not in plan
+
+
+def test_gazetteer_prunes_before_counting(spark):
+    members = spark.createDataFrame([(1, "Anna Bell met carl dunn and anna bell")], "g int, full_text string")
+    names = spark.createDataFrame([("anna bell",), ("dunn",)], "keyword string")
+    found = K.phrase_counts(members, ["g"], low=1, high=3, among=names)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "anna bell", 2), (1, "dunn", 1)]
+    listed = K.people_counts(members, ["g"], gazetteer=names.withColumnRenamed("keyword", "name"))
+    assert sorted(tuple(r) for r in listed.select("g", "keyword", "cnt").collect()) == [(1, "anna bell", 2), (1, "dunn", 1)]
+
+
+def test_few_and_many_letter_groups_find_the_same(spark, monkeypatch):
+    rows = [(1, 1, "a", "th(?:is|e)"), (2, 2, "b", "ni[ck]ht"), (3, 3, "c", "[0-9]+"), (4, 4, "d", "kö?ln")]
+    lexicon = spark.createDataFrame(rows, "entity_id int, ord int, name string, pattern string")
+    texts = ["This the 7", "NICHT Kln", None, "", "İn the Köln ſthe"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "article_id int, full_text string")
+
+    def hits():
+        found = entities.mention_hits(docs, lexicon, inline_limit=0)
+        return sorted(tuple(r) for r in entities.explode_hits(found, ["article_id"]).collect())
+
+    few = hits()
+    monkeypatch.setattr(entities, "FEW_GRAMS", 0)
+    assert few == hits() and {r[1] for r in few} == {1, 2, 3, 4}

@@ -19,6 +19,8 @@ from weekloom.functions.words import (
 from weekloom.operators.entities import SPLITS, inline_lexicon
 from weekloom.session import stored
 
+# Different hashes of wanted phrases; as longs, a broadcast of at most some 100 MB.
+MARKS = 1 << 22
 NAME_RUN = r"\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}"
 
 
@@ -31,12 +33,17 @@ def phrase_counts(
     high: int = 2,
     stop_words: list[str] = (),
     min_chars: int = 1,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences of every n-gram per cluster (``keyword``, ``cnt``).
 
     ``members`` has one row per (cluster, article). Digit-only tokens and stop words go
     before the n-grams are formed. The cluster's texts are never put together: counts are
     added up, on the map side first.
+
+    If only the phrases ``among`` a table (column ``keyword``) are wanted, most others are
+    left out before counts are shuffled: those whose hash no phrase of the table has. A few
+    others may remain. There are at most ``MARKS`` such hashes, so they can be broadcast.
     """
     words = drop_words(wordy_tokens(F.col(text_col)), list(stop_words))
     if min_chars > 1:
@@ -44,6 +51,10 @@ def phrase_counts(
     phrases = explode_ngrams(
         members.select(*group_cols, words.alias("_words")), group_cols, "_words", low, high
     )
+    if among is not None:
+        mark = F.pmod(F.xxhash64("keyword"), F.lit(MARKS)).alias("_mark")
+        marks = stored(among.select(mark).distinct(), "marks")
+        phrases = phrases.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi")
     return phrases.groupBy(*group_cols, "keyword").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -64,10 +75,11 @@ def people_counts(
         found = F.transform(runs, F.lower)
         people = members.select(*group_cols, F.explode(found).alias("keyword"))
         return people.groupBy(*group_cols, "keyword").agg(F.count(F.lit(1)).alias("cnt"))
-    names = gazetteer.select(
-        F.array_join(tokens(F.col(gazetteer.columns[0])), " ").alias("keyword")
-    ).distinct()
-    grams = phrase_counts(members, group_cols, text_col=text_col, low=1, high=3)
+    names = stored(
+        gazetteer.select(F.array_join(tokens(F.col(gazetteer.columns[0])), " ").alias("keyword")).distinct(),
+        "gazetteer",
+    )
+    grams = phrase_counts(members, group_cols, text_col=text_col, low=1, high=3, among=names)
     return grams.join(names, "keyword", "left_semi")
 
 
