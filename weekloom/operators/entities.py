@@ -119,6 +119,8 @@ def _hits(rows: list[Row], counts: list[Column]) -> Column:
 PLAIN = r"^[A-Za-z0-9]+( [A-Za-z0-9]+)*(\|[A-Za-z0-9]+( [A-Za-z0-9]+)*)*$"
 # A common word or group of letters is looked up in this many places.
 SPLITS = 16
+# Up to so many groups of letters are looked for in a text; more are met by all groups it has.
+FEW_GRAMS = 64
 _COLS = ["ord", "entity_id", "name", "pattern"]
 
 
@@ -155,8 +157,9 @@ def lexicon_index(lexicon: DataFrame) -> DataFrame:
     return plain.unionByName(odd).distinct()
 
 
-def _probes(text: Column, sizes: list[tuple[str, int]]) -> Column:
-    """All that the index could hold of a text, for the sizes that occur in it."""
+def _probes(text: Column, sizes: list[tuple[str, int]], few: dict[int, list[str]]) -> Column:
+    """All that the index could hold of a text, for the sizes that occur in it. Of groups of
+    letters that are ``few``, only those that the text holds, looked for one by one."""
     words = _folded_tokens(text)
 
     def grams(n: int) -> Column:
@@ -169,6 +172,8 @@ def _probes(text: Column, sizes: list[tuple[str, int]]) -> Column:
     def marked(kind: str, n: int) -> Column:
         if kind == "w":
             found = words if n == 1 else grams(n)
+        elif n in few:
+            return _with_value(_folded(text), lambda t: F.filter(F.array(*[F.lit(f"g:{g}") for g in few[n]]), lambda p: F.contains(t, F.substring(p, 3, n))))
         else:
             found = letters(n) if n else F.array(F.lit(""))
         found = F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
@@ -185,11 +190,16 @@ def _indexed_hits(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFra
     index = stored(lexicon_index(lexicon), "lexicon")
     # A few numbers: the lengths of aliases in words, and of groups of letters.
     sizes = index.select(F.substring("probe", 1, 1).alias("kind"), "size").distinct().collect()
+    letters = index.where("probe like 'g:_%'").select(F.expr("substring(probe, 3)").alias("gram"), "size").distinct()
+    some = letters.limit(FEW_GRAMS + 1).collect()
+    few: dict[int, list[str]] = {}
+    for r in some if len(some) <= FEW_GRAMS else []:
+        few.setdefault(r["size"], []).append(r["gram"])
     keyed = docs.withColumn("_digest", F.md5(text_col))
     held = keyed.select(
         "_digest",
         F.pmod(F.xxhash64("_digest"), F.lit(SPLITS)).cast("int").alias("_split"),
-        F.explode(_probes(F.col(text_col), sorted((r["kind"], r["size"]) for r in sizes))).alias("probe"),
+        F.explode(_probes(F.col(text_col), sorted((r["kind"], r["size"]) for r in sizes), few)).alias("probe"),
     )
     places = index.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
     candidates = (
