@@ -130,7 +130,9 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
 
     able = value(F.col("cnt"), F.col("cnt"))
     sure = value(F.col("_kth"), most) * F.lit(1.0 - 1e-9)
-    kept = counts.join(per_cluster, group_cols).where(able >= sure)
+    kept = stored(counts.join(per_cluster, group_cols).where(able >= sure), "phrases-left")
+    left = stored(kept.select("keyword").distinct(), "phrases-wanted")
+    spread = counts.join(left, "keyword", "left_semi").groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
     tf = F.col("cnt").cast("double") / F.col("_size")
     idf = F.log(F.lit(1.0) + mean / F.col("_everywhere"))
     scored = kept.join(spread, "keyword").select(
@@ -158,7 +160,10 @@ def score_centroid(
     """
     vec = array_to_vector(F.col(vector_col).cast("array<double>"))
     grams = explode_ngrams(
+    The candidates are written once, so that Spark knows their size and need not shuffle all
+    phrases of all texts to meet a few.
         members.select(
+    wanted = stored(candidates.select(*group_cols, "keyword").distinct(), "candidates")
             *group_cols,
             id_col,
             drop_words(wordy_tokens(F.col(text_col)), list(stop_words)).alias("_words"),
@@ -169,7 +174,7 @@ def score_centroid(
         high,
     )
     held = (
-        grams.join(candidates.select(*group_cols, "keyword"), [*group_cols, "keyword"], "left_semi")
+        grams.join(wanted, [*group_cols, "keyword"], "left_semi")
         .distinct()
         .join(members.select(*group_cols, id_col, vec.alias("_v")), [*group_cols, id_col])
     )
