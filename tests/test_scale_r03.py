@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from weekloom.checks import queries as Q
+from weekloom.checks import samples as S
 from weekloom.operators import entities, pages
 from weekloom.operators import keywords as K
 
@@ -62,3 +63,9 @@ def test_few_and_many_letter_groups_find_the_same(spark, monkeypatch):
     few = hits()
     monkeypatch.setattr(entities, "FEW_GRAMS", 0)
     assert few == hits() and {r[1] for r in few} == {1, 2, 3, 4}
+
+
+def test_storyline_rows_are_written_once(spark, sf):
+    """Tables made of the rows of articles and entities do not scan the texts for them again."""
+    t = S.storyline_tables(spark, sf)
+    assert t["weekly_topic"].inputFiles() and all("weekly-topic" in f for f in t["weekly_topic"].inputFiles())

@@ -572,6 +572,9 @@ def cluster_column_merge(spark, sf):
 def cluster_tables_merge(spark, sf):
     """Sizes and keywords of a later run merged into the stored ones, as in incremental mode."""
     t = S.storyline_tables(spark, sf)
+    # Each is both merged into and merged.
+    for name in ("weekly_clusters", "weekly_keywords"):
+        t[name] = stored(t[name], name)
     moved = (F.col("cluster_id") + F.col("entity_id") % 2).cast("int")
     sizes = t["weekly_clusters"].select(*WEEK, moved.alias("cluster_id"), (F.col("size") + 10).alias("size"))
     words = t["weekly_keywords"].select(*WEEK, moved.alias("cluster_id"), "keyword", F.lit(2.0).alias("score"))
@@ -667,7 +670,7 @@ def storyline_audit(spark, sf):
     code = (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("long")
     end = F.date_add("week_start", 6).alias("week_end")
     team = {"entity_id": "team_id"}
-    stored = {
+    broken = {
         "outlets": t["outlets"],
         "teams": t["entities"],
         "authors": docs.select(code.alias("id"), F.when(F.col("lang") != "de", F.col("lang")).alias("name")).distinct(),
@@ -684,7 +687,8 @@ def storyline_audit(spark, sf):
             "entity_id", "week_start", end, "cluster_id", "keyword", F.when(F.length("keyword") != 9, F.col("score")).alias("score")
         ).withColumnsRenamed(team),
     }
-    return quality.audit_storyline_tables(stored)
+    # Written once, as tables are that an audit reads; each is read by many rules.
+    return quality.audit_storyline_tables({name: stored(df, name) for name, df in broken.items()})
 
 
 # ---- keywords -------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from weekloom.functions.words import tokens
 from weekloom.functions.weeks import with_week
 from weekloom.operators.entities import explode_hits, mention_hits
-from weekloom.session import spread
+from weekloom.session import spread, stored
 
 # A vocabulary that occurs in the test texts: (entity_id, ord, name, pattern).
 LEXICON = [
@@ -111,18 +111,24 @@ def weekly_keywords(spark: SparkSession, sf_dir: str, topic: DataFrame) -> DataF
     """The twelve commonest words of five letters and more per cluster, some with a
     negative score."""
     key = ["entity_id", "week_start", "cluster_id"]
-    words = articles(spark, sf_dir).select(
-        "article_id",
-        F.explode(F.filter(tokens(F.col("full_text")), lambda w: F.length(w) >= 5)).alias("keyword"),
-    )
-    per_article = words.groupBy("article_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
-    counts = (
+    # One row per article next to its text, so the text is neither repeated for each of its
+    # entities nor counted by article first; words are counted once, by cluster.
+    places = (
         topic.where("cluster_id is not null")
-        .select(*key, "article_id")
-        .join(per_article, "article_id")
-        .groupBy(*key, "keyword")
-        .agg(F.sum("n").alias("cnt"))
+        .groupBy("article_id", *key)
+        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("article_id")
+        .agg(F.collect_list(F.struct(*key, "times")).alias("places"))
+    )
+    words = F.filter(tokens(F.col("full_text")), lambda w: F.length(w) >= 5)
+    found = (
+        articles(spark, sf_dir)
+        .select("article_id", words.alias("words"))
+        .join(places, "article_id")
+        .select("places", F.explode("words").alias("keyword"))
+        .select(F.explode("places").alias("p"), "keyword")
     )
+    counts = found.groupBy(*[F.col(f"p.{c}").alias(c) for c in key], "keyword").agg(F.sum("p.times").alias("cnt"))
     totals = counts.groupBy(*key).agg(F.sum("cnt").alias("total"))
     best = Window.partitionBy(*key).orderBy(F.desc("cnt"), "keyword")
     sign = F.when(F.length("keyword") % 5 == 0, F.lit(-1)).otherwise(F.lit(1))
@@ -139,8 +145,8 @@ def weekly_keywords(spark: SparkSession, sf_dir: str, topic: DataFrame) -> DataF
 
 
 def storyline_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All tables, lazily."""
-    topic = weekly_topic(spark, sf_dir)
+    """All tables; the rows of articles and entities are written once, the others lazy."""
+    topic = stored(weekly_topic(spark, sf_dir), "weekly-topic")
     return {
         "articles": articles(spark, sf_dir),
         "article_entities": article_entities(spark, sf_dir),
