@@ -105,9 +105,11 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
     as often as the commonest phrase. The first gives the highest score its count allows,
     the second a score that the ``k`` phrases of highest count are sure to reach. Phrases
     whose highest score lies below that are left out before counts meet their totals, a
-    join that would shuffle every count otherwise. The result is the same.
+    join that would shuffle every count otherwise. The result is the same. No phrase is
+    commoner than the clusters' highest counts added up, so that sum stands for the commonest
+    one, and only phrases that are left in are counted over all clusters.
 
-    The counts are written once and read from there, as five scans need them.
+    The counts are written once and read from there, as four scans need them.
     """
     counts = stored(counts, "phrase-counts")
     # Few rows: the distinct counts of each cluster, and how many phrases have them.
@@ -116,14 +118,15 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
     reached = steps.withColumn("_upto", F.sum("_phrases").over(falling))
     per_cluster = reached.groupBy(*group_cols).agg(
         F.sum(F.col("cnt") * F.col("_phrases")).alias("_size"),
+        F.max("cnt").alias("_most"),
         # The k-th highest count; the lowest there is if the cluster has fewer phrases.
         F.greatest(
             F.min("cnt"), F.coalesce(F.max(F.when(F.col("_upto") >= k, F.col("cnt"))), F.lit(0))
         ).alias("_kth"),
     )
-    spread = counts.groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
+    per_cluster = stored(per_cluster, "phrase-totals")
     mean = per_cluster.select(F.avg("_size").alias("m")).scalar()
-    most = spread.select(F.max("_everywhere").alias("f")).scalar()
+    most = per_cluster.select(F.sum("_most").alias("f")).scalar()
 
     def value(cnt: Column, everywhere: Column) -> Column:
         return cnt * F.log(F.lit(1.0) + mean / everywhere)
@@ -157,13 +160,13 @@ def score_centroid(
     articles that hold the candidate.
 
     Phrases are formed as in ``phrase_counts``; use the same ``stop_words`` there and here.
+    The candidates are written once, so that Spark knows their size and need not shuffle all
+    phrases of all texts to meet a few.
     """
+    wanted = stored(candidates.select(*group_cols, "keyword").distinct(), "candidates")
     vec = array_to_vector(F.col(vector_col).cast("array<double>"))
     grams = explode_ngrams(
-    The candidates are written once, so that Spark knows their size and need not shuffle all
-    phrases of all texts to meet a few.
         members.select(
-    wanted = stored(candidates.select(*group_cols, "keyword").distinct(), "candidates")
             *group_cols,
             id_col,
             drop_words(wordy_tokens(F.col(text_col)), list(stop_words)).alias("_words"),
