@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -121,6 +122,25 @@ def test_sketch_estimates_similarity():
         assert abs(found - truth) < 0.12
 
 
+def test_similarity_and_sketches_take_bounded_memory():
+    """One cell of a divided bucket may name 262,144 pairs; a batch may hold 10,000 short texts."""
+    rng = np.random.default_rng(1)
+    left, right = (rng.integers(0, 4, (40_000, near_dup.REGISTERS)).astype(np.int16) for _ in range(2))
+    n = rng.integers(1, 99, 40_000).astype(float)
+    tracemalloc.start()
+    try:
+        found = near_dup.similarity(left, right, n, n[::-1])
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    some = np.array([0, 2047, 2048, 39_999])
+    assert near_dup.similarity(left[some], right[some], n[some], n[::-1][some]).tolist() == found[some].tolist()
+    batch = pa.record_batch({"doc_id": pa.array(range(10_000)), "text": pa.array(["a b"] * 10_000)})
+    parts = list(near_dup.text_portions(batch, 1))
+    assert max(p.num_rows for p in parts) <= near_dup.ROWS
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10_000))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in near_dup.components(links).collect()}

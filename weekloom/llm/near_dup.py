@@ -36,6 +36,8 @@ SMALL_BUCKET = 16
 BLOCK = 512
 SLACK = 5  # standard deviations of the likelihood estimate
 TEXT_BYTES = 2 << 20
+# Sketches, and pairs of them, worked out at a time.
+ROWS, PAIRS = 1024, 2048
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -68,6 +70,14 @@ def sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs of sketches, given the set sizes."""
+    return np.concatenate([np.zeros(0), *(_estimate(left[c], right[c], n_left[c], n_right[c]) for c in _cuts(len(left)))])
+
+
+def _cuts(pairs: int) -> Iterator[slice]:
+    return (slice(at, at + PAIRS) for at in range(0, pairs, PAIRS))
+
+
+def _estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     more, less = (left > right).sum(1), (left < right).sum(1)
     equal = REGISTERS - more - less
     u = n_left / (n_left + n_right)
@@ -85,10 +95,10 @@ def _least(threshold: float) -> float:
 
 
 def text_portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about TEXT_BYTES of text each."""
+    """Slices of a batch with about TEXT_BYTES of text and at most ROWS rows each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = np.searchsorted(np.cumsum(sizes), np.arange(1, int(sizes.sum()) // TEXT_BYTES + 1) * TEXT_BYTES) + 1
-    edges = np.unique(np.clip(np.concatenate([[0], at, [batch.num_rows]]), 0, batch.num_rows))
+    edges = np.unique(np.clip(np.concatenate([np.arange(0, batch.num_rows, ROWS), at, [batch.num_rows]]), 0, batch.num_rows))
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
 
@@ -234,11 +244,13 @@ def _divided_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, pe
             lefts.append(np.full(len(right), k))
             rights.append(right)
         left, right = np.concatenate(lefts), np.concatenate(rights)
-        keep = similarity(registers[left], registers[right], n[left], n[right]) >= floor if len(left) else np.zeros(0, bool)
+        tiles = [(left[c], right[c]) for c in _cuts(len(left))]
+        near = [np.zeros(0), *(similarity(registers[x], registers[y], n[x], n[y]) for x, y in tiles)]
+        keep = np.concatenate(near) >= floor
         left, right = ids[left[keep]], ids[right[keep]]
-        some = int(len(left) > 0)
-        name, kind = f"{cell['bucket'][0]}:{i[0]}:{j[0]}", pa.list_(pa.int64())
-        return pa.table({"cell": pa.array([name] * some, pa.string()), "a": pa.array([left.tolist()] * some, kind), "b": pa.array([right.tolist()] * some, kind)})
+        name = f"{cell['bucket'][0]}:{i[0]}:{j[0]}"
+        row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+        return pa.table({"cell": pa.array([name]), "a": row(left), "b": row(right)}).slice(0, int(len(left) > 0))
 
     return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "cell string, a array<long>, b array<long>")
 
@@ -273,7 +285,7 @@ def _confirmed_cells(cells: DataFrame, docs: DataFrame, words: int, percent: int
         ids = held["id"].to_numpy()[order]
         values, at = shingles(Words(held["text"].combine_chunks().take(pa.array(order))), words)
         values = np.unique(values, return_inverse=True)[1]
-        a, b = (np.concatenate([np.asarray(x, np.int64) for x in pairs[c].to_pylist()]) for c in "ab")
+        a, b = (pairs[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in "ab")
         order = np.argsort(a, kind="stable")
         a, b = np.searchsorted(ids, a[order]), np.searchsorted(ids, b[order])
         mark, size, links = np.zeros(int(values.max(initial=0)) + 1, np.int32), np.diff(at), []
