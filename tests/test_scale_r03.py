@@ -69,3 +69,19 @@ def test_storyline_rows_are_written_once(spark, sf):
     """Tables made of the rows of articles and entities do not scan the texts for them again."""
     t = S.storyline_tables(spark, sf)
     assert t["weekly_topic"].inputFiles() and all("weekly-topic" in f for f in t["weekly_topic"].inputFiles())
+
+
+def test_word_counts_come_in_pieces_of_text(spark, tmp_path, monkeypatch):
+    """A task counts the words of a bounded piece of text, however large a file is."""
+    texts = [(i, f"that wordy article{i % 3} wordy", "en", "src1", 30) for i in range(1, 40)] + [(40, None, "en", "src1", 0)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int")
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "2025-05-19", i % 2, i) for i in range(1, 41)]
+    topic = spark.createDataFrame(rows, "entity_id int, week_start string, cluster_id int, article_id long")
+    want = sorted(tuple(r) for r in S.weekly_keywords(spark, str(tmp_path), topic).collect())
+    assert {r[3] for r in want} == {"wordy", "article0", "article1", "article2"}
+    monkeypatch.setattr(S, "PIECE_CHARS", 25)
+    pieced = S.weekly_keywords(spark, str(tmp_path), topic)
+    pieces = -(-sum(len(t[1] or "") for t in texts) // 25)
+    assert f", {pieces}), REPARTITION_BY_NUM" in pieced._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in pieced.collect()) == want

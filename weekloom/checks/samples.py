@@ -28,6 +28,8 @@ OUTLETS = [(1, "BBC"), (2, "TheGuardian"), (3, "SkySports")]
 # Patterns for single words, plain and other.
 PATTERNS = ["that|with", "th(?:is|e)", "[0-9]+", "ni[ck]ht|sich", "un[ao]?", "d[ae]ns*", "los", "pour|po+r", "[a-z]{2}", "fro?m|und"]
 PROMO_LINES = ["The", "En", "Nicht", "los", "the", "und", "sch"]
+# Characters of text whose words one task counts before the counts are shuffled.
+PIECE_CHARS = 8_000_000
 STOP_WORDS = ["the", "and", "that", "with", "for", "this", "from", "les", "des", "und", "der", "los"]
 
 
@@ -121,11 +123,16 @@ def weekly_keywords(spark: SparkSession, sf_dir: str, topic: DataFrame) -> DataF
         .agg(F.collect_list(F.struct(*key, "times")).alias("places"))
     )
     words = F.filter(tokens(F.col("full_text")), lambda w: F.length(w) >= 5)
+    # A task keeps a count of every different word by cluster until it is done, so its memory
+    # goes by its text: as many pieces as the texts need, whatever the files' sizes.
+    chars = table(spark, sf_dir, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
+    pieces = max(spark.sparkContext.defaultParallelism, -(-chars // PIECE_CHARS))
     found = (
         articles(spark, sf_dir)
-        .select("article_id", words.alias("words"))
+        .select("article_id", "full_text")
+        .repartition(pieces, "article_id")
         .join(places, "article_id")
-        .select("places", F.explode("words").alias("keyword"))
+        .select("places", F.explode(words).alias("keyword"))
         .select(F.explode("places").alias("p"), "keyword")
     )
     counts = found.groupBy(*[F.col(f"p.{c}").alias(c) for c in key], "keyword").agg(F.sum("p.times").alias("cnt"))
