@@ -293,6 +293,27 @@ def test_main_text_deduces_the_template_of_neutral_names(spark):
     assert all(got[100 + i] == "every page the same" for i in range(8))
 
 
+def test_main_text_leaves_out_optional_and_repeated_parts(spark):
+    def page(i):
+        offer = "<div class='q7'><p>Read our letter</p><p>Sign up now</p></div>" if i % 3 == 0 else ""
+        twice = "".join(f"<div class='z1'><h4>Reply to this</h4><p>{i} {j} {'said ' * 9}</p></div>" for j in range(i % 4))
+        again = "<p>A line that many share</p>" if i % 2 else ""
+        return f"<body><div class='c3'><h1>Head {i}</h1><p>{f'own{i} ' * 80}</p>{again}{offer}{twice}</div></body>"
+
+    rows = [(i, f"http://o.org/{i}", page(i)) for i in range(24)]
+    # Copies of an article with elements of its own: what they share is no part of a template.
+    copy = "<body><div class='c3'><section id='s{0}'><h1>Copied {0}</h1><div id='t{0}'>" + "text " * 80 + "</div></section><i>{1}</i></div></body>"
+    rows += [(100 + 10 * a + i, f"http://o.org/c{a}/{i}", copy.format(a, i)) for a in range(2) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_text(df).collect()}
+    for i in range(24):
+        assert "Sign up" not in got[i] and "Read our" not in got[i] and "Reply to" not in got[i]
+        assert got[i].startswith(f"Head {i}\n\nown{i} ") and ("A line that many share" in got[i]) == bool(i % 2)
+        assert got[i].count("said") == 9 * (i % 4)
+    for a in range(2):
+        assert all(got[100 + 10 * a + i] == f"Copied {a}\n\n{('text ' * 80).strip()}\n\n{i}" for i in range(8))
+
+
 def test_names_never_drop_an_ancestor_of_the_article():
     for name in ("has-sidebar", "single post-share", "main-menu-open", "page-header-fixed", "no-ads", "comments-open"):
         assert html_main.article(f"<body class='{name}'><main><p>plain</p></main></body>") == "plain"

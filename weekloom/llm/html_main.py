@@ -2,9 +2,10 @@
 
 A token is an element in its place (the path of elements above it, with class and id) or a
 run of words between two elements, in its place. Its occurrence vector over the pages of a
-host says how often each page has it. Tokens with equal vectors form an equivalence class;
-the class of the page itself (once in every page) is the host's template, nested by path.
-Runs of words in that class are the template's own text, whatever their elements are called;
+host says how often each page has it. Tokens with equal vectors form an equivalence class.
+The class of the page itself (once in every page) is the host's template, nested by path;
+the other large and frequent classes are its optional and repeated parts, nested in it.
+Runs of words in a class are the template's own text, whatever their elements are called;
 what the template leaves open are its slots, and the innermost slot that still holds nearly
 all varying text is the article. Names of elements and classes decide only what the
 template can't, and never drop all that a page has. Vectors are compared as sums of page
@@ -59,6 +60,8 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SHARE = 0.9
 MIN_PAGES = 5
+# An optional or repeated part has so many tokens at least, and so large a share of the host's pages.
+MIN_TOKENS, MIN_SHARE = 3, 0.05
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -196,7 +199,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-TOKENS = "host string, token long, parent long, run boolean, tag string, depth int, hi long, lo long, pages long, chars long"
+TOKENS = "host string, token long, parent long, run boolean, tag string, depth int, hi long, lo long, pages long, chars long, around long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -204,7 +207,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
     host, token and parent (hashes of paths), run (words, not an element), tag, depth, hi and
     lo (sums of the halves of ``mark`` over pages, times the token's count there), pages, and
-    chars: article text at or below the token. Runs on fewer than ``MIN_PAGES`` pages are
+    chars: article text at or below the token, and around: that of the pages that hold it, once
+    for each. Runs on fewer than ``MIN_PAGES`` pages are
     left out, after they are counted.
     """
 
@@ -234,29 +238,63 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     chars[host, name, page.ids[element], True, "", depth[element]] += len(text)
                 high, low = (mark >> 32) & 0xFFFFFFFF, mark & 0xFFFFFFFF
                 for token, n in counts.items():
-                    s = sums.setdefault(token, [0, 0, 0, 0])
-                    s[0], s[1], s[2], s[3] = s[0] + high * n, s[1] + low * n, s[2] + 1, s[3] + chars[token]
+                    s = sums.setdefault(token, [0, 0, 0, 0, 0])
+                    s[0], s[1], s[2], s[3], s[4] = s[0] + high * n, s[1] + low * n, s[2] + 1, s[3] + chars[token], s[4] + size[0]
             rows = [(t[0], _signed(t[1]), _signed(t[2]), *t[3:], *s) for t, s in sums.items()]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
     parts = pages.select("host", "html", "mark").mapInPandas(run, TOKENS)
-    added = [F.sum(c).alias(c) for c in ("hi", "lo", "pages", "chars")]
+    added = [F.sum(c).alias(c) for c in ("hi", "lo", "pages", "chars", "around")]
     summed = parts.groupBy("host", "token", "parent", "run", "tag", "depth").agg(*added)
     return summed.filter(~F.col("run") | (F.col("pages") >= MIN_PAGES))
 
 
+def parts(tokens: pd.DataFrame) -> list[int]:
+    """The own runs of a host's optional and repeated parts, out of its frequent tokens.
+
+    A part is a class other than the page's, of ``MIN_TOKENS`` or more, nested by path: a run
+    belongs to it if an element of the class lies above it, so the words come with each
+    such element and never without it; words that recur in one of many elements alike are
+    no template. A class around which little text varies stands for copies of an article, not
+    for a part, and is left alone: all runs of its vector must be a small share of the article
+    text of its pages.
+    """
+    above = {r.token: r.parent for r in tokens.itertuples() if not r.run}
+    found = []
+    for _, part in tokens[~tokens["page"]].groupby(["hi", "lo"]):
+        elements = set(part["token"][~part["run"]])
+        runs = part[part["run"]]
+        if len(part) < MIN_TOKENS or not elements or runs["chars"].sum() > (1 - SHARE) * part["around"].max():
+            continue
+        for r in runs.itertuples():
+            at = r.parent
+            while at and at in above and at not in elements:
+                at = above[at]
+            if at in elements:
+                found.append(r.token)
+    return found
+
+
 def templates(tokens: DataFrame) -> DataFrame:
     """host, slot and runs: the slot that is the article, and the template's own runs.
 
-    Both come from the class of the page: tokens that are once in every page, so no more than
-    the shortest page of the host has. The slot must hold nearly all varying text and be a
-    container; an article or main element comes first, among equals the innermost. Runs
-    count as template only on hosts of ``MIN_PAGES`` pages or more whose pages differ.
+    The slot comes from the class of the page: tokens that are once in every page, so no more
+    than the shortest page of the host has. The slot must hold nearly all varying text and be
+    a container; an article or main element comes first, among equals the innermost. Runs
+    of that class count as template only on hosts of ``MIN_PAGES`` pages or more whose pages
+    differ; those of optional and repeated ``parts`` come on top. Other classes are of
+    frequent tokens (on ``MIN_PAGES``, and ``MIN_SHARE`` of the host's pages), of which a host has
+    no more than some twenty of its pages have.
     """
-    whole = tokens.filter("depth = 0 and not run").select("host", F.col("hi").alias("all_hi"), F.col("lo").alias("all_lo"))
-    template = tokens.join(whole, "host").filter("hi = all_hi and lo = all_lo").select("host", "token", "parent", "run", "tag", "depth", "pages", "chars")
-
-    def choose(df: pd.DataFrame) -> pd.DataFrame:
+    whole = tokens.filter("depth = 0 and not run").select(
+        "host", F.col("hi").alias("all_hi"), F.col("lo").alias("all_lo"), F.col("pages").alias("all_pages")
+    )
+    frequent = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
+    classed = tokens.join(whole, "host").withColumn("page", F.expr("hi = all_hi and lo = all_lo")).filter(F.col("page") | frequent)
+    classed = classed.select("host", "token", "parent", "run", "tag", "depth", "hi", "lo", "pages", "chars", "around", "page")
+
+    def choose(tokens: pd.DataFrame) -> pd.DataFrame:
+        df = tokens[tokens["page"]]
         size = {r.token: r.chars for r in df.itertuples() if not r.run}
         above = {r.token: r.parent for r in df.itertuples() if not r.run}
         runs = [r for r in df.itertuples() if r.run and r.pages >= MIN_PAGES]
@@ -275,9 +313,10 @@ def templates(tokens: DataFrame) -> DataFrame:
             if not r.run and r.tag in CONTAINERS and size[r.token] >= SHARE * size[0]
         ]
         slot = max(rank)[2] if rank else None
-        return pd.DataFrame({"host": df["host"].iloc[:1], "slot": pd.array([slot], "Int64"), "runs": [sorted(r.token for r in runs)]})
+        own = sorted([r.token for r in runs] + parts(tokens))
+        return pd.DataFrame({"host": df["host"].iloc[:1], "slot": pd.array([slot], "Int64"), "runs": [own]})
 
-    return template.groupBy("host").applyInPandas(choose, "host string, slot long, runs array<long>")
+    return classed.groupBy("host").applyInPandas(choose, "host string, slot long, runs array<long>")
 
 
 def article(html: str | None, slot: int | None = None, runs: frozenset[int] = frozenset()) -> str:
