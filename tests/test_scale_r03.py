@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from weekloom.checks import queries as Q
@@ -85,3 +87,34 @@ def test_word_counts_come_in_pieces_of_text(spark, tmp_path, monkeypatch):
     pieces = -(-sum(len(t[1] or "") for t in texts) // 25)
     assert f", {pieces}), REPARTITION_BY_NUM" in pieced._jdf.queryExecution().toString()
     assert sorted(tuple(r) for r in pieced.collect()) == want
+
+
+def test_word_counts_keep_their_pieces_in_a_shuffled_join(spark, tmp_path, monkeypatch):
+    """Pieces of text and slices of words go by the text, not by the session's shuffle
+    partitions, also where the articles' clusters are too many for a broadcast."""
+    texts = [(i % 40 or None, f"that wordy article{i % 3} wordy", "en", "src1", 30) for i in range(80)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int")
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "2025-05-19", i % 2, i % 40 or None) for i in range(80)]
+    topic = spark.createDataFrame(rows, "entity_id int, week_start string, cluster_id int, article_id long")
+    want = sorted(tuple(r) for r in S.weekly_keywords(spark, str(tmp_path), topic).collect())
+    assert {r[3] for r in want} == {"wordy", "article0", "article1", "article2"}
+    monkeypatch.setattr(S, "PIECE_CHARS", 25)
+    monkeypatch.setattr(S, "SLICE_CHARS", 50, raising=False)
+    chars = sum(len(t[1]) for t in texts)
+    # A task's sort or hash table of counts stands behind one of these two shuffles only.
+    expected = {-(-chars // 25), -(-chars // 50)}
+    broadcasts = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for conf in broadcasts:
+        spark.conf.set(conf, "-1")
+    try:
+        pieced = S.weekly_keywords(spark, str(tmp_path), topic)
+        plan = pieced._jdf.queryExecution().executedPlan().toString()
+        dealt = {int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)}
+        found = sorted(tuple(r) for r in pieced.collect())
+    finally:
+        for conf in broadcasts:
+            spark.conf.unset(conf)
+    assert "BroadcastHashJoin" not in plan and dealt == expected
+    assert not re.search(r"hashpartitioning\([^)]*keyword[^)]*\), ENSURE", plan)
+    assert found == want

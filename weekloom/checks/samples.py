@@ -28,8 +28,10 @@ OUTLETS = [(1, "BBC"), (2, "TheGuardian"), (3, "SkySports")]
 # Patterns for single words, plain and other.
 PATTERNS = ["that|with", "th(?:is|e)", "[0-9]+", "ni[ck]ht|sich", "un[ao]?", "d[ae]ns*", "los", "pour|po+r", "[a-z]{2}", "fro?m|und"]
 PROMO_LINES = ["The", "En", "Nicht", "los", "the", "und", "sch"]
-# Characters of text whose words one task counts before the counts are shuffled.
-PIECE_CHARS = 8_000_000
+# Characters of text whose words one task counts before the counts are shuffled, and those
+# whose counts one task adds up behind the shuffle.
+PIECE_CHARS = 4_000_000
+SLICE_CHARS = 16_000_000
 STOP_WORDS = ["the", "and", "that", "with", "for", "this", "from", "les", "des", "und", "der", "los"]
 
 
@@ -113,29 +115,43 @@ def weekly_keywords(spark: SparkSession, sf_dir: str, topic: DataFrame) -> DataF
     """The twelve commonest words of five letters and more per cluster, some with a
     negative score."""
     key = ["entity_id", "week_start", "cluster_id"]
+    # A task keeps a count of every different word by cluster until it is done, so its memory
+    # goes by its text: as many pieces as the texts need, whatever the files' sizes and the
+    # session's shuffle partitions, and as many slices of words for what the pieces counted.
+    chars = table(spark, sf_dir, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    pieces, slices = (max(cores, -(-chars // size)) for size in (PIECE_CHARS, SLICE_CHARS))
+
+    def by_piece(df: DataFrame) -> DataFrame:
+        # The column tells Spark that the join and the first counts need no other shuffle.
+        piece = F.pmod(F.xxhash64("article_id"), F.lit(pieces)).cast("int")
+        return df.withColumn("_piece", piece).repartitionById(pieces, F.col("_piece"))
+
     # One row per article next to its text, so the text is neither repeated for each of its
-    # entities nor counted by article first; words are counted once, by cluster.
+    # entities nor counted by article first.
     places = (
-        topic.where("cluster_id is not null")
-        .groupBy("article_id", *key)
+        by_piece(topic.where("cluster_id is not null").select("article_id", *key))
+        .groupBy("_piece", "article_id", *key)
         .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("article_id")
+        .groupBy("_piece", "article_id")
         .agg(F.collect_list(F.struct(*key, "times")).alias("places"))
     )
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("full_text"))
     words = F.filter(tokens(F.col("full_text")), lambda w: F.length(w) >= 5)
-    # A task keeps a count of every different word by cluster until it is done, so its memory
-    # goes by its text: as many pieces as the texts need, whatever the files' sizes.
-    chars = table(spark, sf_dir, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
-    pieces = max(spark.sparkContext.defaultParallelism, -(-chars // PIECE_CHARS))
     found = (
-        articles(spark, sf_dir)
-        .select("article_id", "full_text")
-        .repartition(pieces, "article_id")
-        .join(places, "article_id")
-        .select("places", F.explode(words).alias("keyword"))
-        .select(F.explode("places").alias("p"), "keyword")
+        by_piece(texts)
+        .join(places, ["_piece", "article_id"])
+        .select("_piece", "places", F.explode(words).alias("keyword"))
+        .select("_piece", F.explode("places").alias("p"), "keyword")
+        .select("_piece", *[F.col(f"p.{c}").alias(c) for c in key], "keyword", "p.times")
+    )
+    counted = found.groupBy("_piece", *key, "keyword").agg(F.sum("times").alias("times"))
+    counts = (
+        counted.drop("_piece")
+        .repartition(slices, *key, "keyword")
+        .groupBy(*key, "keyword")
+        .agg(F.sum("times").alias("cnt"))
     )
-    counts = found.groupBy(*[F.col(f"p.{c}").alias(c) for c in key], "keyword").agg(F.sum("p.times").alias("cnt"))
     totals = counts.groupBy(*key).agg(F.sum("cnt").alias("total"))
     best = Window.partitionBy(*key).orderBy(F.desc("cnt"), "keyword")
     sign = F.when(F.length("keyword") % 5 == 0, F.lit(-1)).otherwise(F.lit(1))
