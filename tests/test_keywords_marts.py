@@ -66,6 +66,23 @@ def test_ctfidf_and_people(spark):
     assert listed == {(1, "saka"): 2, (2, "declan rice"): 1}
 
 
+def test_best_phrases_whatever_is_left_in(spark, monkeypatch):
+    """Clusters of few articles leave most phrases in: then none is written again, and the best are the same."""
+    rnd = random.Random(5)
+    rows = [(g % 15, " ".join(rnd.choice("abcdefghijklmnop") * 2 for _ in range(12))) for g in range(40)]
+    counts = K.phrase_counts(spark.createDataFrame(rows, "g int, full_text string"), ["g"])
+    want = sorted(map(tuple, K.top_keywords(K.score_ctfidf(counts, ["g"]), ["g"], 3).collect()))
+    written, stored = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df, name: written.append(name) or stored(df, name))
+    for most in (0.0, 1.0):
+        monkeypatch.setattr(K, "MOST_LEFT", most, raising=False)
+        written.clear()
+        assert sorted(map(tuple, K.top_ctfidf(counts, ["g"], 3).collect())) == want
+        assert ("phrases-left" in written) == (most == 1.0)
+    none = K.top_ctfidf(counts.where("false"), ["g"], 3)
+    assert none.collect() == []
+
+
 def chips(spark, scores, **kw):
     rows = [(1, W, 0, f"k{i}", s) for i, s in enumerate(scores)]
     df = spark.createDataFrame(rows, "entity_id int, week_start date, cluster_id int, keyword string, score double")

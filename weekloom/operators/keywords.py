@@ -21,6 +21,8 @@ from weekloom.session import stored
 
 # Different hashes of wanted phrases; as longs, a broadcast of at most some 100 MB.
 MARKS = 1 << 22
+# Share of the phrases left in from which leaving out the others is not worth its shuffles.
+MOST_LEFT = 0.5
 NAME_RUN = r"\p{Lu}[\p{L}\p{N}_]*(?: \p{Lu}[\p{L}\p{N}_]*){1,2}"
 
 
@@ -109,11 +111,13 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
     commoner than the clusters' highest counts added up, so that sum stands for the commonest
     one, and only phrases that are left in are counted over all clusters.
 
-    The counts are written once and read from there, as four scans need them.
+    If most phrases are left in, as in clusters of few articles, none is left out and all
+    counts are dealt by phrase once. The counts are written once and read from there, as
+    several scans need them.
     """
     counts = stored(counts, "phrase-counts")
     # Few rows: the distinct counts of each cluster, and how many phrases have them.
-    steps = counts.groupBy(*group_cols, "cnt").agg(F.count(F.lit(1)).alias("_phrases"))
+    steps = stored(counts.groupBy(*group_cols, "cnt").agg(F.count(F.lit(1)).alias("_phrases")), "phrase-steps")
     falling = Window.partitionBy(*group_cols).orderBy(F.desc("cnt"))
     reached = steps.withColumn("_upto", F.sum("_phrases").over(falling))
     per_cluster = reached.groupBy(*group_cols).agg(
@@ -133,9 +137,19 @@ def top_ctfidf(counts: DataFrame, group_cols: list[str], k: int = 10) -> DataFra
 
     able = value(F.col("cnt"), F.col("cnt"))
     sure = value(F.col("_kth"), most) * F.lit(1.0 - 1e-9)
-    kept = stored(counts.join(per_cluster, group_cols).where(able >= sure), "phrases-left")
-    left = stored(kept.select("keyword").distinct(), "phrases-wanted")
-    spread = counts.join(left, "keyword", "left_semi").groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
+    # The steps tell how many phrases are left in.
+    share = steps.join(per_cluster, group_cols).agg(
+        F.sum(F.when(able >= sure, F.col("_phrases")).otherwise(0)) / F.sum("_phrases")
+    ).first()[0]
+    if share is not None and share > MOST_LEFT:
+        # One shuffle serves the totals and the join.
+        dealt = counts.repartition("keyword")
+        spread = dealt.groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
+        kept = dealt.join(per_cluster, group_cols)
+    else:
+        kept = stored(counts.join(per_cluster, group_cols).where(able >= sure), "phrases-left")
+        left = stored(kept.select("keyword").distinct(), "phrases-wanted")
+        spread = counts.join(left, "keyword", "left_semi").groupBy("keyword").agg(F.sum("cnt").alias("_everywhere"))
     tf = F.col("cnt").cast("double") / F.col("_size")
     idf = F.log(F.lit(1.0) + mean / F.col("_everywhere"))
     scored = kept.join(spread, "keyword").select(
